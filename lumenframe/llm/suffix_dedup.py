@@ -39,6 +39,7 @@ MOST_SORTED = 2000
 _RNG = np.random.default_rng(3)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 62, 5)]
+_FAR = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 62, 16)]
 _PLACE = (1 << 24) - 1
 
 
@@ -123,76 +124,51 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select(utf8().alias("text")).mapInArrow(run, RUN)
 
 
-def suffix_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(buf: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The starts whose window has the hash of another's: all others are alone in the suffix array."""
+    h = _BYTE[buf]
+    total, size, done = np.zeros(max(len(buf) - window + 1, 0), np.uint64), 1, 0
+    for step in range(window.bit_length()):
+        if window >> step & 1:
+            total = total * _FAR[step] + h[done : done + len(total)]
+            done += size
+        if size * 2 <= window:
+            h = h[:-size] * _FAR[step + 8] + h[size:]
+        size *= 2
+    _, place, count = np.unique(total[starts], return_inverse=True, return_counts=True)
+    return starts[count[place] > 1]
+
+
+def suffix_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes ``buf[start:end]`` and the common prefix length of each with the one before.
 
-    Prefix doubling from 8 bytes up to ``depth``, which no suffix may exceed. Only the places in
-    ``starts`` are sorted; the ranks of all places are kept, for the doubling.
+    ``ends`` has the end of each suffix. Suffixes are as long as a run's bytes at most.
     """
-    n = len(buf)
-    end = np.zeros(n, np.int64)
-    marks = np.unique(ends)
-    end[:] = marks[np.minimum(np.searchsorted(marks, np.arange(n), side="right"), len(marks) - 1)]
-    left = end - np.arange(n)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word <<= np.uint64(8)
-        word[: n - k] |= np.where(left[: n - k] > k, buf[k:], 0).astype(np.uint64)
-    # A byte past the end sorts before all others: ties of padded words are told by what is left.
-    _, rank = np.unique(word, return_inverse=True)
-    rank = rank.astype(np.int64) * 9 + np.minimum(left, 8)
-    levels = []
-    size = 8
-    while True:
-        _, rank = np.unique(rank, return_inverse=True)
-        levels.append((size, rank))
-        if size >= depth:
-            break
-        after = np.zeros(n, np.int64)
-        inside = left > size
-        after[inside] = rank[np.flatnonzero(inside) + size] + 1
-        rank = rank.astype(np.int64) * (n + 1) + after
-        size *= 2
-    order = starts[np.argsort(rank[starts], kind="stable")]
-    i, j = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(len(i), np.int64)
-    for size, r in reversed(levels):
-        while True:
-            ok = (i < n) & (j < n)
-            same = ok & (r[np.minimum(i, n - 1)] == r[np.minimum(j, n - 1)])
-            same &= (left[np.minimum(i, n - 1)] >= size) & (left[np.minimum(j, n - 1)] >= size)
-            if not same.any():
-                break
-            common[same] += size
-            i[same] += size
-            j[same] += size
-            gone = np.maximum(i, j) >= n
-            i[gone] = n
-            if size != 8:
-                break
-    for k in range(7):  # the bytes after the last whole word
-        ok = (i < n) & (j < n)
-        same = ok & (buf[np.minimum(i, n - 1)] == buf[np.minimum(j, n - 1)]) & (left[np.minimum(i, n - 1)] > 0) & (left[np.minimum(j, n - 1)] > 0)
-        i = np.where(same, i + 1, n)
-        j = np.where(same, j + 1, n)
-        common += same
-        # a suffix may end here
-        stop = same & ((end[order[:-1]] <= i) | (end[order[1:]] <= j))
-        i[stop] = n
-    cut = np.minimum(end[order[:-1]] - order[:-1], end[order[1:]] - order[1:])
-    return order, np.concatenate([[0], np.minimum(common, cut)])
-
-
-def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, shortest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Maximal repeats as (length, places of all occurrences), by a stack scan of the common prefix lengths.
-
-    ``before`` has, for each suffix in ``order``, the byte to its left, or -1 where there is none
+    data = buf.tobytes()
+    suffixes = [data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+    starts, sizes = starts[order], (ends - starts)[order]
+    common = np.zeros(len(order), np.int64)
+    wide = np.arange(int(sizes.max(initial=0)))
+    for lo in range(1, len(order), 16384):
+        hi = min(lo + 16384, len(order))
+        rows = buf[np.minimum(starts[lo - 1 : hi, None] + wide, len(buf) - 1)]
+        differ = rows[1:] != rows[:-1]
+        first = np.where(differ.any(1), differ.argmax(1), len(wide))
+        common[lo:hi] = np.minimum(first, np.minimum(sizes[lo:hi], sizes[lo - 1 : hi - 1]))
+    return order, common
+
+
+def maximal_repeats(common: np.ndarray, before: np.ndarray, shortest: int) -> Iterator[tuple[int, int, int]]:
+    """Maximal repeats as (length, first, end): the suffixes first to end of the array are all its occurrences.
+
+    A stack scan of the common prefix lengths. ``before`` has, for each suffix in order, the byte to its left, or -1 where there is none
     (such a suffix differs from all others). An interval of the array whose suffixes share a
     prefix of at least ``shortest`` is a repeat; it is maximal if not all have the same byte to
     the left. Each stack entry is (length, first suffix, left byte shared by all so far or None).
     """
     stack: list[list] = []
-    n = len(order)
+    n = len(common)
     lcp = common.tolist()
     lefts = before.tolist()
     i = 1
@@ -209,7 +185,7 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, s
             length, lo, shared = stack.pop()
             shared = shared if shared == left and left >= 0 else None
             if shared is None:
-                yield length, order[lo:i]
+                yield length, lo, i
             begin, left = lo, -1 if shared is None else shared
         if here >= shortest:
             if stack and stack[-1][0] == here:
@@ -220,11 +196,11 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, s
         i += 1
 
 
-def covered_starts(contents: list[bytes], lefts: list[int], anchors: list[int], window: int) -> list[np.ndarray]:
+def covered_starts(contents: list[bytes], lefts: list[int], window: int) -> list[np.ndarray]:
     """Ranges of each run's bytes that maximal repeats of its group cover (rows of first, end).
 
     ``contents`` are the bytes of runs, ``lefts`` the byte before each (-1: none, or it belongs
-    to another run), ``anchors`` numbers of their groups.
+    to another run).
     """
     sizes = np.array([len(c) for c in contents], np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -233,15 +209,19 @@ def covered_starts(contents: list[bytes], lefts: list[int], anchors: list[int],
     count = sizes - window + 1
     own = np.repeat(np.arange(len(sizes)), count)
     starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + at[:-1][own]
-    order, common = suffix_array(buf, starts, at[1:], int(sizes.max()))
-    owner = np.searchsorted(at, order, side="right") - 1
-    before = np.where(order == at[owner], np.array(lefts)[owner], buf[np.maximum(order - 1, 0)].astype(np.int64))
-    spans: list[list[tuple[int, int]]] = [[] for _ in contents]
-    for length, places in maximal_repeats(order, common, before, window):
-        for p in places.tolist():
-            k = int(np.searchsorted(at, p, side="right") - 1)
-            spans[k].append((p - int(at[k]), p - int(at[k]) + length))
-    return [merge(np.array(s, np.int64).reshape(-1, 2)) for s in spans]
+    starts = repeated_starts(buf, starts, window)
+    own = np.searchsorted(at, starts, side="right") - 1
+    order, common = suffix_array(buf, starts, at[own + 1])
+    places, own = starts[order], own[order]
+    before = np.where(places == at[own], np.array(lefts)[own], buf[np.maximum(places - 1, 0)].astype(np.int64))
+    reach = np.zeros(len(places), np.int64)
+    for length, lo, hi in maximal_repeats(common, before, window):
+        np.maximum(reach[lo:hi], length, out=reach[lo:hi])
+    hit = np.flatnonzero(reach)
+    hit = hit[np.lexsort((places[hit], own[hit]))]
+    spans = np.stack([places[hit] - at[own[hit]], places[hit] - at[own[hit]] + reach[hit]], 1)
+    edge = np.searchsorted(own[hit], np.arange(len(contents) + 1))
+    return [merge(spans[edge[k] : edge[k + 1]]) for k in range(len(contents))]
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -304,7 +284,7 @@ def _sorted_groups(bodies: DataFrame, window: int) -> DataFrame:
 
     def solve(rows: list[tuple]) -> Iterator[tuple]:
         # Bytes to the left of a run belong to windows of another anchor, so a repeat cannot be extended there.
-        got = covered_starts([r[4] for r in rows], [-1] * len(rows), [r[1] for r in rows], window)
+        got = covered_starts([r[4] for r in rows], [-1] * len(rows), window)
         for r, spans in zip(rows, got, strict=True):
             if r[2] == 1:
                 for a, z in spans.tolist():
@@ -356,7 +336,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     run_rows = staged(_runs(docs, window), "rep-runs")
     anchors = run_rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c"), F.max("content").alias("d"))
-    anchors = anchors.filter("n > 1").select("anchor", (F.col("c") != F.col("d")).alias("mixed"))
+    # Written down, so the join has plain exchanges on both sides and a hot anchor can be split.
+    anchors = staged(anchors.filter("n > 1").select("anchor", (F.col("c") != F.col("d")).alias("mixed")), "rep-anchors")
     again = staged(run_rows.join(anchors, "anchor"), "rep-again")
     whole = again.filter("not mixed")
     mixed = again.filter("mixed")
@@ -364,7 +345,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kinds = staged(kinds, "rep-kinds")
     alike = kinds.filter("copies > 1").select("anchor", "content")
     whole = whole.select("key", "first", "last").unionByName(mixed.join(alike, ["anchor", "content"]).select("key", "first", "last"))
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("group"))
+    groups = staged(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("group")), "rep-groups")
     wanted = kinds.join(groups, "anchor").select("anchor", "content", "copies", "group", "one.*")
     bodies = staged(_cut_out(wanted, docs, window), "rep-bodies")
     parts = whole.select("key", F.col("first").alias("lo"), (F.col("last") + window).cast("int").alias("hi"))
