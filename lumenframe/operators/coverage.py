@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def weighted_confidence(confidence: Column, text: Column) -> Column:
-    """Aggregate: mean confidence weighted by visible characters, on [0, 1]; null without text."""
+    """Aggregate: mean confidence weighted by visible characters, on [0, 1]; null without text.
+
+    The sum is rounded to six places, so it does not depend on the order of its terms.
+    """
     weight = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""))
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0))))
-    return F.try_divide(F.sum(c * weight), F.sum(weight))
+    return F.try_divide(F.round(F.sum(c * weight), 6), F.sum(weight))
 
 
 def summary(records: DataFrame, expected: DataFrame, max_error: float = 0.02) -> DataFrame:

@@ -93,7 +93,7 @@ def fts_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_search.search(texts(spark, sf_dir), PHRASES, LIMIT, fuzzy=True).select("keyframe_uid", F.round("score", 6).alias("score"))
 
 
-@query("WITH " + SQL_TEXTS + ", a AS (SELECT * FROM (VALUES (0, 700), (1, 3), (2, 100), (3, -1)) t(pos, keyframe_uid)) SELECT pos, keyframe_uid, video_id, md5(text) AS text_md5, 1.0::DOUBLE AS score FROM a JOIN texts USING (keyframe_uid) WHERE trim(text) <> ''")
+@query("WITH " + SQL_TEXTS + ", a AS (SELECT * FROM (VALUES (0, 700), (1, 3), (2, 100), (3, -1)) t(pos, keyframe_uid)) SELECT pos, keyframe_uid::BIGINT AS keyframe_uid, video_id, md5(text) AS text_md5, 1.0::DOUBLE AS score FROM a JOIN texts USING (keyframe_uid) WHERE trim(text) <> ''")
 def rows_for_uids_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_search.rows_by_id(texts(spark, sf_dir), [700, 3, 100, -1]).select("pos", "keyframe_uid", "video_id", F.md5("text").alias("text_md5"), "score").orderBy("pos")
 
