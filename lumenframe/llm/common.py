@@ -8,12 +8,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so any store that Spark reads will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Most bytes in an Arrow batch handed to Python. Batches are copied several times on both sides, and
+#: the default of 64 MB makes a worker as large as its executor's heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers, unless the session says otherwise."""
+    settle(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -36,6 +51,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     planner true sizes, so a join against a small result is planned as a broadcast by its size.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{work_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
