@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workspace import staged
 
 K1, B = 1.2, 0.75
 BOOST = {"exact": 1.0, "full": 0.85, "prefix": 0.65}
@@ -73,12 +74,13 @@ def coverage(text: Column, terms: list[str]) -> Column:
 
 
 def stages(docs: DataFrame, phrases: list[str], limit: int = 1000, restrict: list | None = None) -> dict[str, DataFrame]:
-    """The three stages for one query. ``phrases`` are the query's literals."""
+    """The three stages for one query. ``phrases`` are the query's literals; ``docs`` may have ``terms`` already (``with_terms``)."""
     spark = docs.sparkSession
     one = spark.range(1).select(*[T.index_terms(F.lit(p)).alias(f"p{i}") for i, p in enumerate(phrases)], T.tokens(F.lit(" ".join(phrases))).alias("t")).first()
     terms = list(one["t"])
     folded = [x[0] if x else "" for x in spark.range(1).select(*[T.index_terms(F.lit(t)).alias(f"x{i}") for i, t in enumerate(terms)]).first()] if terms else []
-    d = with_terms(docs)
+    # The terms are made once and written down; all stages and their statistics read them.
+    d = docs if "terms" in docs.columns else staged(with_terms(docs), "terms")
     exact = {p: phrase_hits(F.col("terms"), list(one[f"p{i}"])) for i, p in enumerate(phrases) if one[f"p{i}"]}
     if not exact or not terms:
         return {}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion, portfolio, ranking, sequence, text_search, timeline, vector_search
+from ..workspace import staged
 from .planner import PlannerChain
 from .query_plan import ANSWER, LOCATOR, TARGET, QueryPlan
 
@@ -69,7 +70,7 @@ class SearchEngine:
             warnings.append("a primary channel is unavailable; clip stands in")
         cols = ", ".join(f"{c} array<double>" for c in channels)
         queries = self.spark.createDataFrame([(i, *[[float(x) for x in coded[c][i]] for c in channels]) for i in range(len(texts))], f"query_id long, {cols}")
-        hits = {c: vector_search.top_k(r.vectors, queries, c, self.top_k) for c in channels}
+        hits = {c: staged(vector_search.top_k(r.vectors, queries, c, self.top_k), "hits") for c in channels}
         found = reduce(DataFrame.unionByName, [h.select("keyframe_uid") for h in hits.values()])
         sides = {}
         for name, docs in (("ocr", r.ocr), ("asr", r.asr)):
@@ -79,7 +80,7 @@ class SearchEngine:
                 found = found.unionByName(sides[name].select("keyframe_uid"))
             elif words:
                 warnings.append(f"{name} is unavailable; weights were shared anew")
-        found = found.distinct()
+        found = staged(found.distinct(), "candidates")
         videos = found.join(r.frames, "keyframe_uid").select("video_id").distinct()
         around = timeline.neighbours(r.frames.join(videos, "video_id", "left_semi")).join(found, "keyframe_uid")
         every = found.unionByName(around.select(F.explode("neighbours").alias("keyframe_uid"))).distinct()
@@ -89,6 +90,7 @@ class SearchEngine:
             fused = fusion.fuse_channels(scored, {c: fusion.references(hits[c], c) for c in channels})
         else:
             fused = scored.select("query_id", "keyframe_uid", "clip", fusion.minmax(F.col("clip"), "query_id").alias("fused"))
+        fused = staged(fused, "fused")
         visual = fusion.combine_queries(fused.select("query_id", "keyframe_uid", "fused"))
         final = fusion.fuse_modalities({"visual": visual.select("keyframe_uid", "score")} | sides, plan.channel_weights())
         boosted = timeline.boost(r.frames, final).join(found, "keyframe_uid")
@@ -96,7 +98,7 @@ class SearchEngine:
         frames = boosted.join(visual.select("keyframe_uid", "best_query"), "keyframe_uid", "left").join(agree, "keyframe_uid", "left")
         frames = frames.select("video_id", "shot_id", "keyframe_uid", "frame_id", "pts_time", "fused", "neighbour_support", "best_query", F.coalesce("consensus", F.lit(0.0)).alias("consensus"), fusion.minmax(F.col("boosted")).alias("score"))
         per_query = fused.select("query_id", "keyframe_uid", F.col("fused").alias("score")).join(r.frames.select("keyframe_uid", "video_id", "shot_id"), "keyframe_uid")
-        return Evidence(frames, per_query, texts, mode, warnings)
+        return Evidence(staged(frames, "evidence"), staged(per_query, "scores"), texts, mode, warnings)
 
     def rank(self, plan: QueryPlan, e: Evidence, limit: int = 12) -> DataFrame:
         """Video hypotheses of the evidence, ties settled by consensus; ``rank`` from 0."""
@@ -107,7 +109,7 @@ class SearchEngine:
         scores = ranking.video_scores(e.per_query)
         v = ranking.rank_videos(scores, labels, whole, ranking.top_consensus(e.frames))
         v = ranking.tie_break(v.withColumn("support", F.col("consensus")))
-        return v.filter(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
+        return staged(v.filter(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1), "videos")
 
     def search(self, plan: QueryPlan, answers: DataFrame | None = None, most: int = 100) -> DataFrame:
         """Ranked rows of the plan's task, at most ``most``."""
@@ -139,9 +141,9 @@ class SearchEngine:
         locator = ranking.video_scores(whole.per_query).groupBy("video_id").agg(F.max("video_score").alias("locator"))
         v = ranking.rank_by_moments(scores, n, locator, ranking.top_consensus(whole.frames))
         v = v.orderBy(F.col("video_score").desc(), "video_id").limit(20)
-        v = v.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")) - 1)
+        v = staged(v.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")) - 1), "videos")
         found = sequence.sequence_candidates(sequence.beam_sequences(moments.join(v.select("video_id"), "video_id", "left_semi"), n), v)
         w = Window.partitionBy("video_id").orderBy(F.col("score").desc(), "frame_ids")
-        c = found.join(v.select("video_id", "rank"), "video_id").withColumn("place", F.row_number().over(w) - 1).withColumn("strength", F.col("score"))
+        c = staged(found.join(v.select("video_id", "rank"), "video_id").withColumn("place", F.row_number().over(w) - 1).withColumn("strength", F.col("score")), "sequences")
         dense = c.select("video_id", "rank").distinct().withColumn("dense", F.row_number().over(Window.partitionBy().orderBy("rank")) - 1).select("video_id", "dense")
         return portfolio.portfolio(c.join(dense, "video_id").withColumn("rank", F.col("dense")).drop("dense"), most).orderBy("position")

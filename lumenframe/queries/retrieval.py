@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SQL_FRAMES, SQL_VECTORS, frames, query_vectors, texts, vectors
 from ..operators import fusion, portfolio, ranking, sequence, timeline, vector_search
+from ..workspace import staged
 from . import query
 
 K = 20
@@ -29,24 +30,25 @@ fused AS (SELECT *, CASE WHEN max(srrf) OVER w - min(srrf) OVER w <= 1e-12 THEN
 
 def _hits(spark: SparkSession, sf_dir: str, channels: tuple[str, ...] = ("sig", "eva")) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     v, q = vectors(spark, sf_dir), query_vectors(spark, sf_dir)
-    return v, q, {c: vector_search.top_k(v, q, c, K) for c in channels}
+    return v, q, {c: staged(vector_search.top_k(v, q, c, K), "hits") for c in channels}
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     v, q, hits = _hits(spark, sf_dir)
     both = reduce(DataFrame.unionByName, [h.select("query_id", "keyframe_uid") for h in hits.values()]).distinct()
-    return vector_search.score_given(both, v, q, ["sig", "eva"]), hits
+    return staged(vector_search.score_given(both, v, q, ["sig", "eva"]), "scored"), hits
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, hits = _scored(spark, sf_dir)
-    return fusion.fuse_channels(s, {c: fusion.references(h, c) for c, h in hits.items()})
+    return staged(fusion.fuse_channels(s, {c: fusion.references(h, c) for c, h in hits.items()}), "fused")
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, fused: DataFrame | None = None) -> DataFrame:
     """Fused scores with the frame's video and shot."""
     v = vectors(spark, sf_dir).select("keyframe_uid", "video_id", "shot_id", "frame_id")
-    return _fused(spark, sf_dir).join(v, "keyframe_uid").withColumn("score", F.col("fused"))
+    d = _fused(spark, sf_dir) if fused is None else fused
+    return d.select("query_id", "keyframe_uid", "fused").join(v, "keyframe_uid").withColumn("score", F.col("fused"))
 
 
 @query(f"WITH {HITS} SELECT query_id, keyframe_uid, rc AS rank, round(clip, 6) AS score FROM ranked WHERE rc <= {K}")
@@ -157,11 +159,11 @@ ev AS (SELECT *, CASE WHEN max(boosted) OVER w - min(boosted) OVER w <= 1e-12 TH
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame evidence of every query: boosted and normalised, with consensus."""
     s, hits = _scored(spark, sf_dir)
-    f = fusion.fuse_channels(s, {c: fusion.references(h, c) for c, h in hits.items()})
+    f = staged(fusion.fuse_channels(s, {c: fusion.references(h, c) for c, h in hits.items()}), "fused")
     line = vectors(spark, sf_dir).select("keyframe_uid", "video_id", "shot_id", "frame_id", F.col("frame_id").cast("double").alias("pts_time"))
     b = timeline.boost(line, f.select("query_id", "keyframe_uid", "fused"), keys=("query_id",))
     c = vector_search.consensus(hits, s)
-    return b.join(c, ["query_id", "keyframe_uid"]).withColumn("score", fusion.minmax(F.col("boosted"), "query_id"))
+    return staged(b.join(c, ["query_id", "keyframe_uid"]).withColumn("score", fusion.minmax(F.col("boosted"), "query_id")), "evidence")
 
 
 @query(f"WITH {FUSED}, {BOOST} SELECT query_id, keyframe_uid, round(support, 5) AS support, round(score, 5) AS score FROM ev")
@@ -212,10 +214,10 @@ hyp AS (SELECT t.video_id, 0.35 * l.evidence + 0.45 * t.evidence + 0.10 * coales
 def _hypotheses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Video hypotheses over all queries as one plan, and the best evidence of each frame."""
     e = _evidence(spark, sf_dir)
-    v = ranking.video_scores(_placed(spark, sf_dir), top_videos=3)
+    v = staged(ranking.video_scores(_placed(spark, sf_dir, e), top_videos=3), "videos")
     one = e.groupBy("keyframe_uid", "video_id", "shot_id").agg(F.max("score").alias("score"), F.max("consensus").alias("consensus"))
     whole = spark.createDataFrame([(0,)], "query_id long")
-    return ranking.rank_videos(v, _labels(spark, sf_dir), whole, ranking.top_consensus(one)), one
+    return staged(ranking.rank_videos(v, _labels(spark, sf_dir), whole, ranking.top_consensus(one)), "hypotheses"), one
 
 
 @query(f"WITH {HYP} SELECT video_id, round(video_score, 5) AS video_score, round(coverage, 6) AS coverage, round(consensus, 6) AS consensus FROM hyp")

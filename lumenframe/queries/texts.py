@@ -47,20 +47,20 @@ prefix_s AS (SELECT keyframe_uid, video_id, text, rnk, 0.65 * {_COVER} * score A
 
 def _stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     s = text_search.stages(texts(spark, sf_dir), PHRASES, LIMIT)[name]
-    return s.select("keyframe_uid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return s.select("keyframe_uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {INDEX}, {EXACT} SELECT keyframe_uid, rnk AS rank, round(score, 6) AS score FROM exact_s")
+@query(f"WITH {INDEX}, {EXACT} SELECT keyframe_uid, rnk AS rank, round(score, 9) AS score FROM exact_s")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage(spark, sf_dir, "exact")
 
 
-@query(f"WITH {INDEX}, {FULL} SELECT keyframe_uid, rnk AS rank, round(score, 6) AS score FROM everyterm_s")
+@query(f"WITH {INDEX}, {FULL} SELECT keyframe_uid, rnk AS rank, round(score, 9) AS score FROM everyterm_s")
 def fts_all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage(spark, sf_dir, "full")
 
 
-@query(f"WITH {INDEX}, {PREFIX} SELECT keyframe_uid, rnk AS rank, round(score, 6) AS score FROM prefix_s")
+@query(f"WITH {INDEX}, {PREFIX} SELECT keyframe_uid, rnk AS rank, round(score, 9) AS score FROM prefix_s")
 def fts_prefix_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage(spark, sf_dir, "prefix")
 
@@ -76,21 +76,21 @@ allrows AS (SELECT keyframe_uid, score FROM exact_s UNION ALL SELECT keyframe_ui
 cascade AS (SELECT keyframe_uid, max(score) AS score FROM allrows GROUP BY keyframe_uid)"""
 
 
-@query(f"WITH {INDEX}, {CASCADE} SELECT keyframe_uid, round(score, 6) AS score FROM cascade ORDER BY cascade.score DESC, keyframe_uid LIMIT {LIMIT}")
+@query(f"WITH {INDEX}, {CASCADE} SELECT keyframe_uid, round(score, 9) AS score FROM cascade ORDER BY cascade.score DESC, keyframe_uid LIMIT {LIMIT}")
 def fts_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.search(texts(spark, sf_dir), PHRASES, LIMIT).select("keyframe_uid", F.round("score", 6).alias("score"))
+    return text_search.search(texts(spark, sf_dir), PHRASES, LIMIT).select("keyframe_uid", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {INDEX}, {_bm25([f'len(list_filter(terms, lambda x: x = {chr(39)}{t}{chr(39)}))' for t in TERMS], 'f0 > 0 AND f1 > 0 AND f2 > 0', 20, 'rest', '0.85::DOUBLE', chr(40) + 'video_id IN (' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39) + '))')} SELECT keyframe_uid, video_id, rnk AS rank, round(score, 6) AS score FROM rest_s")
+@query(f"WITH {INDEX}, {_bm25([f'len(list_filter(terms, lambda x: x = {chr(39)}{t}{chr(39)}))' for t in TERMS], 'f0 > 0 AND f1 > 0 AND f2 > 0', 20, 'rest', '0.85::DOUBLE', chr(40) + 'video_id IN (' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39) + '))')} SELECT keyframe_uid, video_id, rnk AS rank, round(score, 9) AS score FROM rest_s")
 def fts_video_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The restriction comes before the limit, the statistics from the whole index."""
     s = text_search.stages(texts(spark, sf_dir), PHRASES, 20, ["src1", "src2"])["full"]
-    return s.select("keyframe_uid", "video_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return s.select("keyframe_uid", "video_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
 @query()
 def fts_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.search(texts(spark, sf_dir), PHRASES, LIMIT, fuzzy=True).select("keyframe_uid", F.round("score", 6).alias("score"))
+    return text_search.search(texts(spark, sf_dir), PHRASES, LIMIT, fuzzy=True).select("keyframe_uid", F.round("score", 9).alias("score"))
 
 
 @query("WITH " + SQL_TEXTS + ", a AS (SELECT * FROM (VALUES (0, 700), (1, 3), (2, 100), (3, -1)) t(pos, keyframe_uid)) SELECT pos, keyframe_uid::BIGINT AS keyframe_uid, video_id, md5(text) AS text_md5, 1.0::DOUBLE AS score FROM a JOIN texts USING (keyframe_uid) WHERE trim(text) <> ''")

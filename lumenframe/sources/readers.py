@@ -131,7 +131,7 @@ def read_query_bundle(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(n, z.read(n).decode("utf-8-sig")) for n in z.namelist() if "/" not in n and n.endswith(".txt")]
         d = spark.createDataFrame(rows, "file string, raw_query string")
     else:
-        d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw_query"))
+        d = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw_query"))
     name = F.regexp_replace("file", r"\.txt$", "")
     task = F.upper(F.regexp_extract(name, r"(?i)[-_](kis|qa|trake)$", 1))
     d = d.select(name.alias("query_name"), F.trim("raw_query").alias("raw_query"), F.when(task == "", F.raise_error(F.concat(F.lit("no task in name: "), name))).otherwise(task).alias("task"))
