@@ -1,13 +1,11 @@
-"""Shared plumbing of the corpus operators: reading tables, shared work folder, row packing."""
+"""Shared plumbing of the corpus operators: reading tables, written-down results, row packing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workspace
 from ..session import settle
 
 
@@ -29,32 +27,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, BATCH_BYTES)
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may lack it; it then
-    gets a temporary folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    It cuts the lineage (a lost executor re-reads files instead of recomputing) and gives the
-    planner true sizes, so a join against a small result is planned as a broadcast by its size.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{work_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``workspace.staged`` with small batches for what follows."""
+    small_batches(df.sparkSession)
+    return workspace.staged(df, tag)
 
 
 def packed(docs: DataFrame, **extra: Column) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import work_root
 from . import decontam, langid, media_avi, mixing, order_minhash, suffix_dedup, token_rollup, toxicity, url_rules, warc
-from .common import table, work_root
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +21,6 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first inserts every document. The second deletes those whose id ends in 3 and revises
     those whose id ends in 7: they move to another source and their text is doubled.
     """
-    import uuid
-
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     digit = F.col("doc_id") % 10
     moved = d.select(
