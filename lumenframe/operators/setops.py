@@ -74,3 +74,16 @@ def append_new(index: DataFrame, batch: DataFrame, sources: DataFrame, source: s
     held = index.select("keyframe_uid").withColumn("held", F.lit(True))
     b = b.join(held, "keyframe_uid", "left")
     return b.filter(F.when(F.col("held"), F.raise_error(F.concat(F.lit("already indexed: "), F.col("keyframe_uid").cast("string"))).cast("boolean")).otherwise(True)).drop("held")
+
+
+def incremental_union(batches: dict[str, tuple[str, DataFrame]], whole: DataFrame) -> DataFrame:
+    """Snapshot rows of batches (name -> tier and rows), each with ``batch``, ``tier`` and ``searchable``.
+
+    Batches may not share a frame, and every row must be of ``whole`` (keyframe_uid); else the
+    query fails when it runs. Rows of the tier ``craft_only`` are never searchable, others if
+    they were read.
+    """
+    rows = union_disjoint({name: d.withColumn("tier", F.lit(tier)) for name, (tier, d) in batches.items()}, "keyframe_uid").withColumnRenamed("part", "batch")
+    j = rows.join(whole.select("keyframe_uid", F.lit(True).alias("known")), "keyframe_uid", "left")
+    j = j.filter(F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("foreign: "), F.col("keyframe_uid").cast("string"))).cast("boolean")).otherwise(True)).drop("known")
+    return j.withColumn("searchable", (F.col("tier") != "craft_only") & (F.col("status") == "success"))

@@ -284,3 +284,73 @@ def keyframes_per_shot_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ntile_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy("pts_time", "frame_id")
     return frames(spark, sf_dir).select("keyframe_uid", F.ntile(4).over(w).cast("long").alias("quarter"), F.lag("keyframe_uid").over(w).alias("before"), F.lead("keyframe_uid").over(w).alias("after"), F.round(F.percent_rank().over(w), 6).alias("share"))
+
+
+@query("SELECT l_orderkey, seq FROM (SELECT l_orderkey, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, first(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS src FROM lineitem) WHERE seq > 1 AND src <> 'A'")
+def reuse_source_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that reuse the reading of their order's first line, which must have text."""
+    from ..operators import routing
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(w).cast("long"))
+    status = F.when(F.col("l_returnflag") == "A", "text_detected").otherwise("no_text")
+    r = li.select("l_orderkey", "seq", (F.col("l_orderkey") * 100 + F.col("seq")).alias("keyframe_uid"), F.col("l_orderkey").alias("video_id"), F.lit("s").alias("shot_id"), status.alias("status"), F.when(F.col("seq") > 1, F.col("l_orderkey") * 100 + 1).alias("reuse_source_uid"))
+    return routing.reuse_violations(r).select("l_orderkey", "seq")
+
+
+@query("SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_nationkey % 4 = 1 THEN 'counts' END, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 5 = 0 THEN 'incomplete' END, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey > 20 THEN 'errors' END], lambda x: x IS NOT NULL), '|') AS reasons FROM nation WHERE n_nationkey % 4 = 1 OR (n_nationkey % 3 = 0 AND (n_nationkey % 5 = 0 OR n_nationkey > 20))")
+def shard_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    err = F.when(k > 20, 50).otherwise(0)
+    s = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(1000).alias("records"), err.alias("error"), F.lit(100).alias("no_text"), (900 - err + F.when(k % 4 == 1, 1).otherwise(0)).alias("success"), F.when(k % 5 == 0, 1001).otherwise(1000).alias("expected"), (k % 3 == 0).alias("complete"))
+    return validation.shard_gate(s).select("n_nationkey", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'text_without_regions' WHEN s_suppkey % 4 = 1 THEN 'regions_without_text' WHEN s_suppkey % 4 = 2 THEN 'error_code' END AS reasons FROM supplier WHERE s_suppkey % 4 < 3")
+def detector_state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey") % 4
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(n == 0, "text_detected").when(n == 1, "no_text").when(n == 2, "error").otherwise("no_text").alias("status"), F.when(n == 1, 2).otherwise(0).alias("region_count"), F.lit(None).cast("double").alias("min_area"), F.lit(None).cast("string").alias("error_code"))
+    return validation.detector_violations(s).select("s_suppkey", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("SELECT event_id AS position FROM events WHERE CASE event_id % 3 WHEN 1 THEN event_type <> 'error' ELSE event_id % 2 = 0 END ORDER BY event_id LIMIT 100".replace("ELSE event_id % 2 = 0", "WHEN 2 THEN event_id % 2 = 0 ELSE true"))
+def bulk_add_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows that may be added in bulk: an uncertain answer or a short sequence may not."""
+    from ..operators import answers
+
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    r = e.select(k.alias("position"), F.when(k % 3 == 0, "KIS").when(k % 3 == 1, "QA").otherwise("TRAKE").alias("task"), F.when(F.col("event_type") == "error", " Uncertain").otherwise("x").alias("answer"), F.lit(False).alias("requires_review"), F.when(k % 2 == 0, F.array(k, k + 1)).otherwise(F.array(k)).alias("frame_ids"))
+    return answers.bulk_valid(r, 2).select("position")
+
+
+@query(f"WITH {SQL_FRAMES}, l AS (SELECT *, row_number() OVER w AS n, lead(frame_id, 1) OVER w AS b, lead(frame_id, 2) OVER w AS c FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY pts_time, frame_id)) SELECT video_id AS position, frame_id || ',' || c AS frame_ids, true AS valid FROM l WHERE n = 1 AND c IS NOT NULL")
+def replace_with_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each video's first two frames as a sequence, its second frame moved one place on."""
+    from ..operators import answers
+
+    f = timeline.positions(frames(spark, sf_dir))
+    two = f.filter("position < 2").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "frame_id"))).alias("r"))
+    rows = two.filter(F.size("r") == 2).select(F.col("video_id").alias("position"), "video_id", F.transform("r", lambda x: x["frame_id"]).alias("frame_ids"))
+    out = answers.replace_frame(rows, f, 1, 1).filter("valid")
+    return out.select("position", F.array_join(F.col("frame_ids").cast("array<string>"), ",").alias("frame_ids"), "valid")
+
+
+@query("SELECT o_orderstatus AS batch, CASE o_orderstatus WHEN 'P' THEN 'craft_only' ELSE 'easyocr' END AS tier, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW') AS searchable FROM orders GROUP BY o_orderstatus")
+def incremental_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("keyframe_uid"), "o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", "no_text").otherwise("success").alias("status"))
+    parts = {s: ("craft_only" if s == "P" else "easyocr", o.filter(F.col("o_orderstatus") == s).drop("o_orderstatus")) for s in ("O", "F", "P")}
+    u = setops.incremental_union(parts, o)
+    return u.groupBy("batch", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("searchable").cast("long")).alias("searchable"))
+
+
+@query(f"""WITH {SQL_FRAMES}, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pts_time, frame_id) AS n FROM frames), t AS (SELECT video_id, n, p.keyframe_uid, props AS text FROM p JOIN events ON event_id = keyframe_uid WHERE n <= 3),
+x AS (SELECT video_id, unnest(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) AS v, n FROM t) SELECT video_id, arg_max(v, (length(regexp_replace(v, '\\D', '', 'g')), -n, v)) AS answer, 0.78::DOUBLE AS answer_confidence FROM x GROUP BY video_id""")
+def answer_from_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number read from the first frame of each video and its neighbours, as no search hit it."""
+    from ..operators import answers
+
+    f = timeline.positions(frames(spark, sf_dir))
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("keyframe_uid"), F.col("props").alias("text"))
+    none = f.select("video_id", "keyframe_uid", "score").limit(0)
+    return answers.extract(f.filter("position = 0").select("video_id", "keyframe_uid"), none, t, f, "number")

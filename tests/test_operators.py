@@ -304,3 +304,26 @@ def test_empty_inputs(spark):
     e = evidence(spark, [])
     assert ranking.best_per_shot(e).count() == 0
     assert portfolio.portfolio(spark.createDataFrame([], "video_id string, rank int, video_score double, place int, strength double")).count() == 0
+
+
+def test_answers_prefer_evidence_and_fall_back(spark):
+    from lumenframe.operators import answers
+
+    f = spark.createDataFrame([("v1", 1, 1, 1.0), ("v1", 2, 2, 2.0), ("v2", 3, 3, 1.0), ("v2", 4, 4, 2.0)], "video_id string, keyframe_uid long, frame_id long, pts_time double")
+    t = spark.createDataFrame([(1, "text 12"), (2, "6549"), (3, "no digits"), (4, "seven 7")], "keyframe_uid long, text string")
+    e = f.filter("frame_id in (1, 3)").select("video_id", "keyframe_uid")
+    none = spark.createDataFrame([], "video_id string, keyframe_uid long, score double")
+    assert rows(answers.extract(e, none, t, f, "number"), "video_id", "answer") == [("v1", "6549"), ("v2", "7")]
+    hits = spark.createDataFrame([("v1", 2, 0.9), ("v1", 1, 0.1)], "video_id string, keyframe_uid long, score double")
+    assert rows(answers.extract(e, hits, t, f, "text"), "video_id", "answer", "answer_confidence") == [("v1", "text 12", 0.65), ("v2", "no digits", 0.65)]
+
+
+def test_image_metrics(spark):
+    import numpy as np
+
+    flat, edge = np.full((40, 50), 9, np.uint8), np.zeros((40, 50), np.uint8)
+    edge[:, 25:] = 255
+    d = spark.createDataFrame([(1, bytearray(flat.tobytes()), 50, 40), (2, bytearray(edge.tobytes()), 50, 40), (3, bytearray(b"x"), 50, 40), (4, None, None, None)], "keyframe_uid long, pixels binary, width int, height int")
+    got = {r["keyframe_uid"]: r for r in quality.image_metrics(d).collect()}
+    assert got[1]["variance"] == 0 and got[2]["variance"] > 100 and got[3]["phash"] is None and got[4]["variance"] is None
+    assert len(got[2]["phash"]) == 16 and quality.perceptual_hash(edge) == quality.perceptual_hash(np.clip(edge, 3, 250))

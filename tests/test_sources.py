@@ -136,3 +136,27 @@ def test_submission_zip(spark):
         assert z.read("q1.csv") == b'v,5,"say ""a"", b"\nv,6,x\n'
     with pytest.raises(ValueError, match="1 to 100"):
         writers.submission_zip({"q": writers.submission_lines(d.limit(0), "QA")})
+
+
+def test_drafts(spark, tmp_path):
+    from lumenframe.sources.drafts import Drafts
+
+    c = spark.createDataFrame([("v", i, float(i)) for i in range(5)], "video_id string, frame_id long, pts_time double")
+    d = Drafts(spark, {"a": ("KIS", 0), "t": ("TRAKE", 2)})
+    row = lambda *f: {"video_id": "v", "frame_ids": list(f)}
+    d.replace("a", [row(1), row(2)])
+    assert d.merge("a", [row(2), row(3)]) == 1
+    d.move("a", 2, 0)
+    d.remove("a", 1)
+    assert [r["frame_ids"] for r in d.rows["a"]] == [[3], [2]]
+    d.replace("t", [row(2, 1)])
+    assert d.violations("t", c) == [["not_rising"]]
+    with pytest.raises(ValueError, match="not_rising"):
+        d.export(c)
+    d.replace("t", [row(1, 2)])
+    d.save(str(tmp_path / "d.json"))
+    e = Drafts.load(spark, str(tmp_path / "d.json"))
+    with zipfile.ZipFile(io.BytesIO(e.export(c))) as z:
+        assert z.read("a.csv") == b"v,3\nv,2\n" and z.read("t.csv") == b"v,1,2\n"
+    with pytest.raises(ValueError, match="unknown query"):
+        d.merge("x", [])
