@@ -78,7 +78,7 @@ def perceptual_hash(grey: np.ndarray) -> str:
     small = np.array([[grey[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(cols, cols[1:], strict=False)] for a, b in zip(rows, rows[1:], strict=False)])
     k = np.arange(32)
     basis = np.cos((2 * k[None, :] + 1) * k[:8, None] * np.pi / 64)
-    low = (basis @ small @ basis.T).ravel()
+    low = np.round((basis @ small @ basis.T).ravel(), 6)
     return f"{int(''.join('1' if x > np.median(low) else '0' for x in low), 2):016x}"
 
 
