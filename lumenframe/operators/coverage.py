@@ -69,14 +69,16 @@ def grid_gaps(results: DataFrame) -> DataFrame:
     return results.select("keyframe_uid").distinct().crossJoin(configs).join(results.select("keyframe_uid", "config_id"), ["keyframe_uid", "config_id"], "left_anti")
 
 
-def nearest_percentile(x: Column, f: float) -> Column:
-    """Aggregate: the value at the half-even rounded place (n - 1) f of the sorted values.
+def nearest_percentile(rows: DataFrame, by: list[str], column: str, f: float) -> DataFrame:
+    """``nearest`` of each group: the value at the half-even rounded place (n - 1) f of its sorted values.
 
-    ``percentile`` with two neighbouring places would interpolate; here a place is picked, from
-    the counts of distinct values that the exact percentile holds.
+    Values are counted first, so the window runs over distinct values and not over rows. Nulls
+    are left out.
     """
-    listed = F.sort_array(F.collect_list(x))
-    return F.element_at(listed, (F.bround((F.size(listed) - 1) * F.lit(f)) + 1).cast("int"))
+    c = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("nearest")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by)
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("nearest"))).withColumn("place", F.bround((F.sum("c").over(w) - 1) * F.lit(f)))
+    return c.filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(*by, "nearest")
 
 
 def sliced_accuracy(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -254,7 +254,9 @@ def config_grid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH s AS (SELECT l_returnflag AS flag, list(l_quantity ORDER BY l_quantity) AS xs, quantile_cont(l_quantity, 0.9) AS linear FROM lineitem GROUP BY ALL) SELECT flag, xs[round_even((len(xs) - 1) * 0.9::DOUBLE, 0)::BIGINT + 1] AS nearest, round(linear, 6) AS linear FROM s")
 def percentile_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("flag")).agg(coverage.nearest_percentile(F.col("l_quantity"), 0.9).alias("nearest"), F.round(F.percentile("l_quantity", 0.9), 6).alias("linear"))
+    li = li.select(F.col("l_returnflag").alias("flag"), "l_quantity")
+    linear = li.groupBy("flag").agg(F.round(F.percentile("l_quantity", 0.9), 6).alias("linear"))
+    return coverage.nearest_percentile(li, ["flag"], "l_quantity", 0.9).join(linear, "flag")
 
 
 @query("SELECT source, count(*) AS eligible, count(quality) AS labelled, coalesce(sum(quality), 0)::BIGINT AS correct, round(sum(quality) / nullif(count(quality), 0), 6) AS accuracy FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")

@@ -242,7 +242,7 @@ def test_coverage_and_gate(spark):
     s = coverage.summary(r, spark.createDataFrame([(1,), (2,), (3,)], "keyframe_uid long")).first()
     assert (s["expected"], s["records"], s["duplicates"], s["missing"], s["foreign"], s["gate"]) == (3, 4, 1, 1, 1, "FAIL")
     e = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (3.5,)], "x double")
-    assert e.agg(coverage.nearest_percentile(F.col("x"), 0.5)).first()[0] == 2.5
+    assert [r["nearest"] for r in coverage.nearest_percentile(e, [], "x", 0.5).collect()] == [2.5]
 
 
 def test_quality_fallback_and_near_copies(spark):
