@@ -253,7 +253,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comps = staged(components(links(texts, similarity)), "dup-components")
     d = texts.select("key", "doc_id").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     d = staged(d, "dup-roots")
-    least = d.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    # Written down, so that the join back has plain exchanges and a very large class can be split.
+    least = staged(d.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "dup-least")
     return staged(d.join(least, "root").select("key", F.col("first.doc_id").alias("class_id"), (F.col("key") == F.col("first.key")).alias("top")), "dup-classes")
 
 
