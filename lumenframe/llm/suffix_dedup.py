@@ -324,7 +324,7 @@ def _hashed_groups(bodies: DataFrame, window: int) -> DataFrame:
 
     windows = bodies.select("key", "copies", "first", "body").mapInArrow(run, "key binary, lo int, window binary")
     windows = staged(windows, "rep-windows")
-    shared = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    shared = staged(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"), "rep-shared")
     got = windows.filter("key is not null").join(shared, "window")
     return got.select("key", "lo", (F.col("lo") + window).alias("hi"))
 
