@@ -12,10 +12,10 @@ def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (least node of its component) of all nodes in ``links`` (``a``, ``b``).
 
     Each round every node points its greater neighbours, then its lesser ones, at its least
-    neighbour. Only minima are taken over a node's neighbours, combined before the shuffle, and
-    the joins have one row a node on one side, so a node with very many links can be split. The
-    number of rounds grows with the logarithm of the size. Each round is written down, which
-    bounds the lineage; only two sums come to the driver.
+    neighbour. Only minima are taken over a node's neighbours, combined before the shuffle and
+    written down, so the joins have plain exchanges, with one row a node on one side, and a node
+    with very many links can be split. The number of rounds grows with the logarithm of the size.
+    Each round is written down, which bounds the lineage; only two sums come to the driver.
 
     Links to oneself and repeated links do no harm; null ends are dropped.
     """
@@ -23,12 +23,12 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         # Greater neighbours v of u point at the least of u's neighbourhood.
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = staged(large.filter("u != v").distinct(), "links")
         # Lesser neighbours of u, and u, point at the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u != v").distinct(), "links")
