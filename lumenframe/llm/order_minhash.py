@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from .common import packed, staged, utf8
 from .components import components
 
-#: Words of a shingle, shingles of a sketch (kept in text order), and sketches of a text.
-WORDS, ORDERED, SKETCHES = 5, 2, 20
+#: Words of a shingle, and sketches of a text, each of two shingles in text order.
+WORDS, SKETCHES = 5, 28
+#: A text of fewer shingles also has as many sketches of one shingle: an edit spoils most of its pairs.
+SHORT = 20
 #: Least similarity of a link: 1 - edit distance in words / words of the longer text.
 SIMILARITY = 0.8
 
@@ -57,11 +59,15 @@ def shingles(ws: Sequence[bytes]) -> np.ndarray:
 
 
 def sketches(ws: Sequence[bytes]) -> list[int]:
-    """``SKETCHES`` order-min-hashes: of the two least shingles under a hash, the pair in text order."""
+    """``SKETCHES`` order-min-hashes: of the two least shingles under a hash, the pair in text order.
+
+    Short texts have sketches of the least shingle alone beside them.
+    """
     h = shingles(ws)
     out: list[int] = []
     if not len(h):
         return out
+    short = len(h) < SHORT
     for i, odd in enumerate(_ODD):
         x = _scramble(h * odd)
         a = int(x.argmin())
@@ -73,6 +79,8 @@ def sketches(ws: Sequence[bytes]) -> list[int]:
         else:
             pair = (int(first), 0)
         out.append(((pair[0] * 0x9E3779B97F4A7C15 + pair[1]) * 0xD6E8FEB86659FD93 + i) % (1 << 64) - (1 << 63))
+        if short:
+            out.append((int(first) * 0xD6E8FEB86659FD93 + SKETCHES + i) % (1 << 64) - (1 << 63))
     return out
 
 
@@ -264,7 +272,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Texts of the same words (A-Z and a-z alike, all but letters and digits parting words) are of
     one class. Different texts are linked if an alignment of their words has a similarity of 0.8,
     and classes are the connected components of links. Candidates come from order MinHash with
-    shingles of five words, so texts of fewer words have exact copies only.
+    shingles of five words, so texts without a common shingle are no candidates, and texts of
+    fewer words have exact copies only.
 
     Defined cases: null is the empty text; texts without words are alike only if their bytes
     are; null ids come last, and a class of null ids has a null ``class_id``; repeated rows are
