@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SQL_FRAMES, frames, table
 from ..functions import hashing
-from ..operators import quality, setops, timeline, validation
+from ..operators import answers, quality, routing, setops, timeline, validation
 from ..streaming import ingest
 from . import query
 
@@ -289,8 +289,6 @@ def ntile_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, seq FROM (SELECT l_orderkey, l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, first(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS src FROM lineitem) WHERE seq > 1 AND src <> 'A'")
 def reuse_source_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that reuse the reading of their order's first line, which must have text."""
-    from ..operators import routing
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     li = table(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(w).cast("long"))
     status = F.when(F.col("l_returnflag") == "A", "text_detected").otherwise("no_text")
@@ -316,8 +314,6 @@ def detector_state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id AS position FROM events WHERE CASE event_id % 3 WHEN 1 THEN event_type <> 'error' ELSE event_id % 2 = 0 END ORDER BY event_id LIMIT 100".replace("ELSE event_id % 2 = 0", "WHEN 2 THEN event_id % 2 = 0 ELSE true"))
 def bulk_add_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows that may be added in bulk: an uncertain answer or a short sequence may not."""
-    from ..operators import answers
-
     e = table(spark, sf_dir, "events")
     k = F.col("event_id")
     r = e.select(k.alias("position"), F.when(k % 3 == 0, "KIS").when(k % 3 == 1, "QA").otherwise("TRAKE").alias("task"), F.when(F.col("event_type") == "error", " Uncertain").otherwise("x").alias("answer"), F.lit(False).alias("requires_review"), F.when(k % 2 == 0, F.array(k, k + 1)).otherwise(F.array(k)).alias("frame_ids"))
@@ -327,8 +323,6 @@ def bulk_add_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_FRAMES}, l AS (SELECT *, row_number() OVER w AS n, lead(frame_id, 1) OVER w AS b, lead(frame_id, 2) OVER w AS c FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY pts_time, frame_id)) SELECT video_id AS position, frame_id || ',' || c AS frame_ids, true AS valid FROM l WHERE n = 1 AND c IS NOT NULL")
 def replace_with_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each video's first two frames as a sequence, its second frame moved one place on."""
-    from ..operators import answers
-
     f = timeline.positions(frames(spark, sf_dir))
     two = f.filter("position < 2").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "frame_id"))).alias("r"))
     rows = two.filter(F.size("r") == 2).select(F.col("video_id").alias("position"), "video_id", F.transform("r", lambda x: x["frame_id"]).alias("frame_ids"))
@@ -348,8 +342,6 @@ def incremental_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT video_id, unnest(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) AS v, n FROM t) SELECT video_id, arg_max(v, (length(regexp_replace(v, '\\D', '', 'g')), -n, v)) AS answer, 0.78::DOUBLE AS answer_confidence FROM x GROUP BY video_id""")
 def answer_from_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number read from the first frame of each video and its neighbours, as no search hit it."""
-    from ..operators import answers
-
     f = timeline.positions(frames(spark, sf_dir))
     t = table(spark, sf_dir, "events").select(F.col("event_id").alias("keyframe_uid"), F.col("props").alias("text"))
     none = f.select("video_id", "keyframe_uid", "score").limit(0)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import SQL_FRAMES, SQL_VECTORS, frames, query_vectors, texts, vectors
+from ..adapters import SQL_FRAMES, SQL_VECTORS, frames, query_vectors, table, texts, vectors
+from ..functions import text as T
 from ..operators import fusion, portfolio, ranking, sequence, timeline, vector_search
 from ..workspace import staged
 from . import query
@@ -109,8 +110,6 @@ SIDE = "ocr AS (SELECT doc_id AS keyframe_uid, least(n_chars, 5000) / 5000.0::DO
 
 
 def _side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..adapters import table
-
     d = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("keyframe_uid"), (F.least("n_chars", F.lit(5000)) / 5000).alias("score"))
     return d.join(vectors(spark, sf_dir).select("keyframe_uid"), "keyframe_uid", "left_semi")
 
@@ -379,8 +378,6 @@ ans AS (SELECT video_id, arg_max(v, (length(regexp_replace(v, '\\D', '', 'g')),
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import text as T
-
     d = texts(spark, sf_dir).drop("video_id").join(vectors(spark, sf_dir).select("keyframe_uid", "video_id"), "keyframe_uid")
     w = Window.partitionBy("video_id").orderBy("keyframe_uid")
     d = d.withColumn("r", F.row_number().over(w)).filter("r <= 20").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("l"))
@@ -407,8 +404,6 @@ l AS (SELECT *, coalesce(max(ends::INT) OVER (PARTITION BY video_id ORDER BY ste
 SELECT video_id, arg_max(confidence, (ends, confidence, -step, answer)) AS confidence, arg_max(step, (ends, confidence, -step, answer)) AS step, bool_or(ends) AS settled FROM l WHERE done = 0 GROUP BY video_id""")
 def answer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as the answers of a chain of providers."""
-    from ..adapters import table
-
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("step"), F.col("text").alias("answer"), (F.length("text") % 100 / 100.0).alias("confidence"))
     return portfolio.settle_answers(c).select("video_id", "confidence", "step", "settled")
 
@@ -416,7 +411,5 @@ def answer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id AS video_id, CASE WHEN count(DISTINCT trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) = 1 THEN arg_min(text, turn) ELSE 'Uncertain' END AS answer,
 CASE WHEN count(DISTINCT trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) = 1 THEN min((length(text) % 100) / 100.0::DOUBLE) ELSE 0.0 END AS confidence FROM conversations GROUP BY conv_id""")
 def two_prompt_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..adapters import table
-
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("prompt"), F.col("text").alias("answer"), (F.length("text") % 100 / 100.0).alias("confidence"))
     return portfolio.agree_prompts(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import SQL_TEXTS, table, texts
 from ..functions import text as T
-from ..operators import text_search
+from ..operators import coverage, text_search
 from . import query
 
 PHRASES = ["of the", "anhe"]
@@ -185,8 +185,6 @@ def html_title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, item_id, len(list_filter(lines, lambda x: contains(text, x))) / len(lines) AS recall FROM (SELECT item_id, list_filter(string_split(text, ' '), lambda x: length(x) > 8) AS lines FROM benchmark) b, documents WHERE len(lines) > 0 AND doc_id % 100 = item_id % 100")
 def expected_line_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of an item's long words that a document holds, for the documents of the item's number."""
-    from ..operators import coverage
-
     b = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", " "), lambda x: F.length(x) > 8).alias("lines"), (F.col("item_id") % 100).alias("k"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 100).alias("k"))
     return d.join(b, "k").filter(F.size("lines") > 0).select("doc_id", "item_id", coverage.line_recall(F.col("text"), F.col("lines")).alias("recall"))

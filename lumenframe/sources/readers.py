@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +124,6 @@ def read_query_bundle(spark: SparkSession, path: str) -> DataFrame:
     be numbered 1, 2, ... without a gap.
     """
     if path.endswith(".zip"):
-        import zipfile
-
         rows = []
         for f in spark.read.format("binaryFile").load(path).select("content").toLocalIterator():
             with zipfile.ZipFile(io.BytesIO(bytes(f["content"]))) as z:

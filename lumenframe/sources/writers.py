@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 import zipfile
@@ -52,8 +53,6 @@ def publish_snapshot(records: DataFrame, root: str, created: str) -> str:
     """
     rows = records.select(*[c.split()[0] for c in schemas.SNAPSHOT.split(", ")])
     digest = rows.agg(F.sum(F.conv(F.substring(F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), 1, 14), 16, 10).cast("decimal(20,0)")).cast("string").alias("d"), F.count(F.lit(1)).alias("n")).first()
-    import hashlib
-
     name = f"ocr-snapshot-{created}-{hashlib.sha256(f'{digest['d']}:{digest['n']}'.encode()).hexdigest()[:12]}"
     publish(rows.repartitionByRange("video_id", "keyframe_uid").sortWithinPartitions("video_id", "keyframe_uid"), f"{root}/{name}")
     return name
