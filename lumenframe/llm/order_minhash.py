@@ -23,6 +23,8 @@ WORDS, SKETCHES = 5, 28
 SHORT = 20
 #: Least similarity of a link: 1 - edit distance in words / words of the longer text.
 SIMILARITY = 0.8
+#: Bins of a text's word counts, and members of a block where a bucket is settled pair by pair.
+BINS, BLOCK = 64, 1000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _ODD = (np.random.default_rng(20).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -226,18 +228,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return rows.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary, ok boolean")
 
 
-def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (``a``, ``b``) between distinct texts.
+def _stars(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links found by joining each bucket as a star, and all pairs tried.
 
-    Texts that share a sketch form a bucket. A bucket of any size is joined as a star: each
-    member against one member of it, the hub, so the pairs grow with the members. Members that
-    do not match their hub are not given up: they meet the bucket's other end, and then the hub
-    of finer buckets, of two sketches at once, formed by such members alone.
+    Each member meets one member of its bucket, the hub, so the pairs grow with the members.
+    Members that do not match their hub meet the bucket's other end, and then the hub of finer
+    buckets, of two sketches at once, formed by such members alone.
     """
-    n = F.size("bands")
-    own = F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("bucket"), F.xxhash64(x, F.element_at("bands", ((i + 1) % n + 1).cast("int"))).alias("finer"))))
-    members = texts.filter(n > 0).select("key", F.col("n").alias("size"), own.alias("e")).select("key", "size", "e.bucket", "e.finer")
-    found = None
+    seen = None
     for bucket, pick in (("bucket", F.min), ("bucket", F.max), ("finer", F.min)):
         ends = members.groupBy(bucket).agg(pick(F.struct("key", "size")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         met = members.join(ends.select(bucket, "hub"), bucket).filter(F.col("key") != F.col("hub.key"))
@@ -245,11 +243,106 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         met = staged(met.select("key", "size", "bucket", "finer", F.col("hub.key").alias("hub"), near.alias("near")), "dup-met")
         pairs = met.filter("near").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
         tried = staged(_verified(pairs, texts, similarity), "dup-tried")
-        good = tried.filter("ok").select("a", "b")
-        found = good if found is None else found.unionByName(good)
+        seen = tried if seen is None else seen.unionByName(tried)
+        good = tried.filter("ok")
         left = met.join(good, (met["key"] == good["a"]) & (met["hub"] == good["b"]), "left_anti")
         members = left.select("key", "size", "bucket", "finer").distinct()
-    return found
+    return seen.filter("ok").select("a", "b"), seen.select("a", "b")
+
+
+def _bag(ws: Sequence[bytes]) -> bytes:
+    """A text's word counts in ``BINS`` bins by hash."""
+    bins = np.array([zlib.crc32(x) % BINS for x in ws], np.int64)
+    return np.minimum(np.bincount(bins, minlength=BINS), 32767).astype("<i2").tobytes()
+
+
+def _bagged(texts: DataFrame) -> DataFrame:
+    """``key`` and ``bag`` of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_bag(unpack(x.as_py()).split()) for x in b.column(1)], pa.binary())], names=["key", "bag"])
+
+    return texts.select("key", "packed").mapInArrow(run, "key binary, bag binary")
+
+
+def likely(size: np.ndarray, root: np.ndarray, side: np.ndarray, bag: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of different roots and sides that counts of words allow to be similar.
+
+    An edit takes one word from a bin at most and adds one to a bin at most, so no pair that the
+    alignment would accept is left out. Side -1 is other than any.
+    """
+    order = np.argsort(size, kind="stable")
+    n, root, side, bag = size[order].astype(np.int64), root[order], side[order], bag[order]
+    total, most = bag.sum(1, dtype=np.int64), np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+    left, right = [], []
+    for lo in range(0, len(n), 64):
+        i = np.arange(lo, min(lo + 64, len(n)))
+        j = np.arange(lo, np.searchsorted(n - most, n[i[-1]], "right"))
+        # The longer text, j, says how many edits there may be.
+        ok = (j > i[:, None]) & (root[i][:, None] != root[j]) & ((side[i][:, None] != side[j]) | (side[j] < 0)) & (n[j] - n[i][:, None] <= most[j])
+        x, y = np.nonzero(ok)
+        for at in range(0, len(x), 1 << 15):
+            a, b = i[x[at : at + (1 << 15)]], j[y[at : at + (1 << 15)]]
+            more = np.maximum(bag[a] - bag[b], 0).sum(1, dtype=np.int64)
+            fit = (more <= most[b]) & (more - total[a] + total[b] <= most[b])
+            left.append(order[a[fit]])
+            right.append(order[b[fit]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _settled(texts: DataFrame, roots: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a bucket that the stars left in different components.
+
+    All pairs of such members are compared by their counts of words, and those that may be
+    similar are aligned. A large bucket is dealt out in pairs of blocks of ``BLOCK`` members, so
+    that no task has more than two blocks of it at once.
+    """
+    own = texts.filter(F.size("bands") > 0).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    own = own.select("key", "n", F.xxhash64(F.coalesce("root", "key")).alias("root"), F.explode("bands").alias("bucket"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi")
+    members = staged(own.join(mixed.select("bucket", "c"), "bucket"), "dup-open")
+    bags = staged(_bagged(texts.join(members.select("key").distinct(), "key", "left_semi")), "dup-bags")
+    g = F.ceil(F.col("c") / BLOCK)
+    d = members.withColumn("i", F.pmod(F.xxhash64("key", "bucket"), g)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
+    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+    side = F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1)
+    d = d.select("key", "bucket", lo.alias("lo"), hi.alias("hi"), F.struct("key", "n", "root", side.cast("int").alias("side")).alias("m"))
+    d = d.join(bags, "key").select("bucket", "lo", "hi", F.col("m").withField("bag", F.col("bag")).alias("m"))
+    cells = d.groupBy("bucket", "lo", "hi").agg(F.collect_list("m").alias("m")).select("m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(0)
+            at, rows = m.offsets.to_numpy(), m.values
+            keys = rows.field("key")
+            n, root, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "root", "side"))
+            bag = np.frombuffer(b"".join(rows.field("bag").to_pylist()), "<i2").reshape(-1, BINS)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                x, y = likely(n[lo:hi], root[lo:hi], side[lo:hi], bag[lo:hi], similarity)
+                for k in range(0, len(x), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(x[k : k + (1 << 16)] + lo)), keys.take(pa.array(y[k : k + (1 << 16)] + lo))], names=["a", "b"])
+
+    pairs = cells.mapInArrow(run, "a binary, b binary")
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = staged(ordered(pairs).distinct().join(ordered(tried), ["a", "b"], "left_anti"), "dup-pairs")
+    return staged(_verified(pairs, texts, similarity), "dup-settled").filter("ok").select("a", "b")
+
+
+def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (``a``, ``b``) between distinct texts; their components are those of all similar pairs with a common sketch.
+
+    Texts that share a sketch form a bucket. Stars link most of its members at a cost that grows
+    with the members; of the rest all pairs in different components are settled.
+    """
+    n = F.size("bands")
+    own = F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("bucket"), F.xxhash64(x, F.element_at("bands", ((i + 1) % n + 1).cast("int"))).alias("finer"))))
+    members = texts.filter(n > 0).select("key", F.col("n").alias("size"), own.alias("e")).select("key", "size", "e.bucket", "e.finer")
+    found, tried = _stars(members, texts, similarity)
+    roots = staged(components(found), "dup-stars")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_settled(texts, roots, tried, similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

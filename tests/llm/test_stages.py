@@ -322,6 +322,49 @@ def test_near_copies_are_found_and_others_left(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def grouped(spark, texts):
+    got = {r["row"]["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs(spark, [" ".join(t) for t in texts])).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def altered(words, places, mark):
+    return [f"{mark}{i}" if i in places else x for i, x in enumerate(words)]
+
+
+def test_chain_over_a_hub_is_one_class(spark):
+    # h is the start of a and of b and has all their common shingles, so it is in each of their buckets.
+    for seed in range(40):
+        a = [f"w{seed}x{i}" for i in range(100)]
+        h, b = a[:82], altered(a, range(82, 100, 5), "b") + ["c", "d", "e", "f"]
+        if order_minhash._key(b"", [x.encode() for x in h]) < min(order_minhash._key(b"", [x.encode() for x in t]) for t in (a, b)):
+            assert grouped(spark, [h, a, b]) == [0, 0, 0]
+            break
+    else:
+        raise AssertionError("no seed has h as its hub")
+
+
+def test_near_pairs_in_a_bucket_of_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 7, raising=False)
+    passage = [f"p{i}" for i in range(70)]
+    texts = [passage + [f"o{k}x{i}" for i in range(60)] for k in range(40)]
+    for k in range(6):
+        pair = passage + [f"n{k}x{i}" for i in range(30)]
+        texts += [pair, altered(pair, range(70, 100, 2), f"m{k}x")]
+    assert grouped(spark, texts) == list(range(40)) + [40 + 2 * (i // 2) for i in range(12)]
+
+
+def test_counts_of_words_rule_out_no_similar_pair():
+    rng = random.Random(8)
+    texts = [[b"%d" % rng.randint(0, 30) for _ in range(rng.randint(5, 40))] for _ in range(60)]
+    texts += [[x for x in t if rng.random() < 0.93] + [b"y"] * rng.randint(0, 3) for t in texts * 3]
+    n = np.array([len(t) for t in texts])
+    bag = np.frombuffer(b"".join(order_minhash._bag(t) for t in texts), "<i2").reshape(len(texts), -1)
+    root, side = np.arange(len(texts)) % 7, np.full(len(texts), -1)
+    got = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in order_minhash.likely(n, root, side, bag)), strict=True)}
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if root[i] != root[j] and order_minhash.within(texts[i], texts[j], order_minhash.most_edits(n[i], n[j]))}
+    assert near and {(j, i) for i, j in near} <= got
+
+
 def test_keep_one_keeps_one_of_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h"), (None, "g h"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in order_minhash.keep_one(d).collect()) == [0, 1]
