@@ -64,8 +64,8 @@ def choose_config(metrics: DataFrame, fallback: str) -> DataFrame:
 
 
 def grid_gaps(results: DataFrame) -> DataFrame:
-    """Frames and settings that have no result: the grid must be full. Settings are a handful."""
-    configs = F.broadcast(results.select("config_id").distinct().limit(64))
+    """Frames and settings that have no result: the grid must be full."""
+    configs = results.select("config_id").distinct()
     return results.select("keyframe_uid").distinct().crossJoin(configs).join(results.select("keyframe_uid", "config_id"), ["keyframe_uid", "config_id"], "left_anti")
 
 

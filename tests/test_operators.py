@@ -331,3 +331,15 @@ def test_image_metrics(spark):
     other = np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8)
     bits = lambda a, b: bin(int(quality.perceptual_hash(a), 16) ^ int(quality.perceptual_hash(b), 16)).count("1")
     assert len(got[2]["phash"]) == 16 and bits(picture, np.clip(picture, 4, 250)) <= 4 < 15 < bits(picture, other)
+
+
+def test_no_query_or_setting_past_the_64th_is_dropped(spark):
+    ids = range(70)
+    labels = spark.createDataFrame([("locator", -1)] + [("target", q) for q in ids], "role string, query_id long")
+    scores = spark.createDataFrame([(q, 1, q / 100, True) for q in range(-1, 70)], "query_id long, video_id long, video_score double, hit boolean")
+    e = {r["role"]: r for r in ranking.role_evidence(scores, labels).collect()}
+    assert e["target"]["matched"] == list(ids) and e["target"]["coverage"] == 1.0
+    v = ranking.rank_videos(scores, labels, spark.createDataFrame([(q,) for q in ids], "query_id long"), scores.select("video_id", F.lit(0.0).alias("consensus")).distinct())
+    assert v.first()["video_score"] == pytest.approx(0.35 * e["locator"]["evidence"] + 0.45 * e["target"]["evidence"] + 0.10 * 0.69)
+    results = spark.createDataFrame([(1, f"c{i}") for i in ids] + [(2, "c0")], "keyframe_uid long, config_id string")
+    assert sorted(r["config_id"] for r in coverage.grid_gaps(results).collect()) == sorted(f"c{i}" for i in range(1, 70))
