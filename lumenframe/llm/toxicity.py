@@ -18,6 +18,8 @@ from .common import packed, utf8
 TRAIN_ROWS = 8000
 BUCKETS, DIM, EPOCHS, BATCH = 1 << 17, 12, 8, 64
 SHORTEST, LONGEST = 3, 5
+#: Bytes of a long word that are taken at a time; longer words are not kept for a second use.
+PIECE = 4096
 #: The mean is scaled by this before the softmax, so a few words of a long text can carry weight.
 GAIN = 60.0
 RATE = 0.15
@@ -30,10 +32,16 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of the word itself and of its n-grams of 3 to 5 bytes, the ends marked."""
-    w = b"<" + word[:64] + b">"
-    return [zlib.crc32(w) % BUCKETS, *(zlib.crc32(w[i : i + n]) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1))]
+def subwords(word: bytes) -> Iterator[np.ndarray]:
+    """Buckets of the word itself and of its n-grams of 3 to 5 bytes, the ends marked.
+
+    A long word comes in pieces, each with the n-grams that begin in its ``PIECE`` bytes.
+    """
+    w = b"<" + word + b">"
+    for lo in range(0, len(w), PIECE):
+        p = w[lo : lo + PIECE + LONGEST - 1]
+        grams = [zlib.crc32(p[i : i + n]) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(min(PIECE, len(p) - n + 1))]
+        yield np.array(grams if lo else [zlib.crc32(w) % BUCKETS, *grams], np.int32)
 
 
 @dataclass
@@ -62,7 +70,9 @@ def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for w, c in own.items():
             s = known.get(w)
             if s is None:
-                s = known[w] = np.array(subwords(w), np.int32)
+                s = np.concatenate(list(subwords(w)))
+                if len(w) < PIECE:
+                    known[w] = s
             parts.append(s)
             weight.append(np.full(len(s), c / n / len(s), np.float32))
         if parts:
@@ -136,9 +146,12 @@ class Scorer:
         self.buckets, self.bias, self.known = buckets, bias, {}
 
     def _learn(self, word: bytes) -> float:
+        if len(word) >= PIECE:
+            sums = [(self.buckets[p].sum(dtype=np.float64), len(p)) for p in subwords(word)]
+            return float(sum(x for x, _ in sums) / sum(n for _, n in sums))
         if len(self.known) > 1_000_000:
             self.known.clear()
-        s = self.known[word] = float(self.buckets[subwords(word)].mean())
+        s = self.known[word] = float(self.buckets[np.concatenate(list(subwords(word)))].mean())
         return s
 
     def score(self, text: bytes) -> float:

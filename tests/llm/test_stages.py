@@ -418,6 +418,20 @@ def test_toxicity_learns_misspellings(spark):
     assert 0 <= toxicity.fit([], np.zeros(0)).bias[1] + 20
 
 
+def test_long_words_count_whole(monkeypatch):
+    rng = random.Random(10)
+    table = np.array([rng.gauss(0, 1) for _ in range(toxicity.BUCKETS)], np.float32)
+    word = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(100)).encode()
+    w = b"<" + word + b">"
+    own = [w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
+    want = np.mean([table[zlib.crc32(x) % toxicity.BUCKETS] for x in own], dtype=np.float64)
+    for piece in (7, 298, 302, 4096):
+        monkeypatch.setattr(toxicity, "PIECE", piece, raising=False)
+        assert toxicity.Scorer(table, 0.0).score(word) == pytest.approx(1 / (1 + np.exp(-want)))
+        cols, vals, _ = toxicity._bags([word])
+        assert float(vals @ table[cols]) == pytest.approx(want, abs=1e-5)
+
+
 # Benchmark passages
 
 
