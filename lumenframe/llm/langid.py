@@ -22,6 +22,8 @@ MOST_EVIDENCE = 100.0
 SMOOTHING = 20.0
 #: Least posterior of the best language; documents below it are rejected.
 MIN_POSTERIOR = 0.5
+#: Prior of a text in none of the languages, against the best of them; any trigram is as likely in it.
+UNKNOWN = 0.01
 NONE = "und"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -105,6 +107,12 @@ def _softmax(logs: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
+def unknown_text() -> Column:
+    """Whether a text has letters and each language makes it less likely than trigrams at random."""
+    at_random = F.least(F.col("n_trigrams").cast("double"), F.lit(MOST_EVIDENCE)) * float(-np.log(BUCKETS))
+    return (F.col("n_trigrams") > 0) & (F.array_max("ll") < at_random + float(np.log(UNKNOWN)))
+
+
 def _sums(n: int) -> Column:
     return F.array(*[F.sum(F.col("soft")[i]) for i in range(n)])
 
@@ -122,7 +130,8 @@ def fuse(scored: DataFrame, model: TextModel, declared: Column, host: Column, su
 
     Returns ``row``, ``predicted`` (``und`` if rejected), ``best`` and ``posterior`` of the best
     language, and ``rejected``. A document is rejected if it has no letters and no declared
-    language that is known, or if no language reaches ``MIN_POSTERIOR``.
+    language that is known, if no language reaches ``MIN_POSTERIOR``, or if its text is in none of
+    the languages (``unknown_text``), whatever is declared; such a text adds to no language's counts.
 
     Defined cases: null or empty texts add no text evidence; a null or unknown declaration adds
     none; a null host or suffix is a group of its own; ties go to the first language by name;
@@ -139,7 +148,7 @@ def fuse(scored: DataFrame, model: TextModel, declared: Column, host: Column, su
 
     scored = named(scored)
     evidence = scored if evidence is None else named(evidence)
-    soft = evidence.withColumn("soft", F.when(F.col("n_trigrams") > 0, _softmax(F.col("ll"))).otherwise(F.array(*[F.lit(1.0 / n)] * n)))
+    soft = evidence.withColumn("soft", F.when((F.col("n_trigrams") > 0) & ~unknown_text(), _softmax(F.col("ll"))).otherwise(F.array(*[F.lit(1.0 / n)] * n)))
     cells = staged(soft.groupBy("host", "suffix", "said").agg(_sums(n).alias("soft")), "lang-counts")
 
     smooth = lambda own, prior: F.zip_with(own, prior, lambda a, b: (a + SMOOTHING * b) / (F.aggregate(own, F.lit(0.0), lambda x, y: x + y) + SMOOTHING))
@@ -161,7 +170,7 @@ def fuse(scored: DataFrame, model: TextModel, declared: Column, host: Column, su
     d = d.withColumn("post", _softmax(logs)).withColumn("posterior", F.array_max("post"))
     best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("post", F.col("posterior")).cast("int"))
     silent = (F.col("n_trigrams") == 0) & F.col("said").isNull()
-    rejected = silent | (F.col("posterior") < MIN_POSTERIOR)
+    rejected = silent | unknown_text() | (F.col("posterior") < MIN_POSTERIOR)
     return d.select("row", F.when(rejected, F.lit(NONE)).otherwise(best).alias("predicted"), best.alias("best"), "posterior", rejected.alias("rejected"))
 
 

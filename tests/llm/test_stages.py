@@ -389,6 +389,19 @@ def test_language_fusion(spark):
     assert none.filter("rejected").count() == d.count()
 
 
+def test_unseen_languages_and_noise_are_rejected(spark):
+    rng = random.Random(11)
+    make = {"aa": "abcdefgh", "bb": "stuvwxyz"}
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(make[lang], 60), lang, "h", 0) for i, lang in enumerate(["aa", "aa", "bb"] * 40)]
+    odd = ["これは日本語の文章です。私は毎日学校に行きます。", "Съешь же ещё этих мягких французских булок", text("ijklmnopqr", 60)]
+    rows += [(900 + i, t, lang, "h", 0) for i, (t, lang) in enumerate([(t, lang) for t in odd for lang in (None, "aa")])]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r["row"]["doc_id"]: r for r in langid.identify(d, langid.train(d.filter("doc_id < 100")), F.col("lang"), F.col("source"), F.lit(None).cast("string")).collect()}
+    assert all(got[i]["predicted"] == lang for i, lang in enumerate(["aa", "aa", "bb"] * 40))
+    assert all(got[900 + i]["rejected"] and got[900 + i]["predicted"] == "und" for i in range(6))
+
+
 def test_page_evidence(spark):
     p = spark.createDataFrame([(2, "http://X.org/en/7?x", '<html class="a" lang=en-GB>'), (1, "http://y.com/7.html", "<html>"), (3, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in langid.page_evidence(p).collect()] == [(7, "", "y.com", "com")]
