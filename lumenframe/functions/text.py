@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cues
+
 
 def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -84,46 +86,68 @@ def has_ascii_word(s: Column) -> Column:
     return s.rlike("[A-Za-z]{3,}")
 
 
-def frame_language(marks: Column, ascii_word: Column) -> Column:
-    """vi, en or mixed by whether a frame's regions have Vietnamese marks and ASCII words; null for neither."""
-    return F.when(marks & ascii_word, "mixed").when(marks, "vi").when(ascii_word, "en")
+def frame_language(marks: Column, ascii_word: Column, mixed: Column | None = None) -> Column:
+    """mixed if a frame says so or its regions have both Vietnamese marks and ASCII words, else vi with marks, else en."""
+    said = F.lit(False) if mixed is None else F.coalesce(mixed, F.lit(False))
+    return F.when(said | (marks & ascii_word), "mixed").when(marks, "vi").otherwise("en")
+
+
+_ANY_CASE = "(?iu)"
 
 
-def scenes(s: Column, most: int = 8) -> Column:
-    """Sentences and lines of at least three characters, at most ``most``."""
-    parts = F.transform(F.split(s, r"\n+|(?<=[.!?;])\s+"), F.trim)
-    return F.slice(F.filter(parts, lambda x: F.length(x) >= 3), 1, most)
+def scenes(s: Column, most: int = cues.MOST_SCENES) -> Column:
+    """What lies between line breaks, sentence ends and connectives, from three characters on, at most ``most``; the whole text if that is nothing."""
+    parts = F.transform(F.split(s, _ANY_CASE + cues.BREAK), lambda x: F.btrim(x, F.lit(" ,-:\t")))
+    found = F.slice(F.filter(parts, lambda x: F.length(x) >= 3), 1, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.trim(s)))
 
 
 def quoted(s: Column) -> Column:
-    """Distinct quoted literals, whitespace collapsed, in order."""
-    found = F.regexp_extract_all(s, F.lit('["“]([^"“”]{1,200})["”]'), F.lit(1))
+    """Distinct quoted literals of 2 to 100 characters, whitespace collapsed, in order."""
+    found = F.regexp_extract_all(s, F.lit(cues.QUOTED), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, collapse), lambda x: x != ""))
 
 
+def literals(s: Column) -> Column:
+    """Texts that a frame may show: quoted ones, then what is said to be displayed."""
+    shown = F.transform(F.regexp_extract_all(s, F.lit(_ANY_CASE + cues.DISPLAYED), F.lit(1)), lambda x: F.btrim(collapse(x), F.lit(" ,.:;?-")))
+    shown = F.filter(shown, lambda x: (x != "") & ~F.lower(x).isin(*cues.GENERIC))
+    return F.array_distinct(F.concat(quoted(s), shown))
+
+
 def question(s: Column) -> Column:
     """The last sentence with a question mark, else the last sentence."""
-    parts = F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(s, cues.SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
     asked = F.filter(parts, lambda x: F.contains(x, F.lit("?")))
     return F.coalesce(F.try_element_at(asked, F.lit(-1)), F.try_element_at(parts, F.lit(-1)))
 
 
 def value_type(s: Column) -> Column:
-    """What kind of value a question asks for."""
-    q = F.lower(s)
-    return F.when(q.rlike(r"how many|số lượng|bao nhiêu|number"), "number").when(q.rlike(r"when|date|năm nào|ngày"), "date").when(q.rlike(r"who|name|tên|ai "), "name").otherwise("text")
+    """What kind of value a question asks for, by cue words."""
+    out = None
+    for name, cue in cues.VALUES:
+        hit = s.rlike(_ANY_CASE + cue)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("free_text")
+
+
+def answer_source(s: Column) -> Column:
+    """Where an answer can be found, by what the cue words speak of."""
+    seen, heard = s.rlike(_ANY_CASE + cues.VISIBLE), s.rlike(_ANY_CASE + cues.SPOKEN)
+    return F.when(seen & heard, "mixed").when(seen, "ocr").when(heard, "asr").otherwise("visual")
 
 
 def events(s: Column) -> Column:
-    """Numbered events ``E1: ...`` as structs of number and text."""
-    found = F.regexp_extract_all(s, F.lit(r"(?im)^\s*(E\d+\s*[:.)-][^\n]*)"), F.lit(1))
-    parse = lambda x: F.struct(F.regexp_extract(x, r"(?i)E(\d+)", 1).cast("int").alias("n"), F.trim(F.regexp_extract(x, r"(?i)E\d+\s*[:.)-](.*)", 1)).alias("text"))
+    """Events ``E1: ...`` as structs of number and text; the mark after the number may be missing, and an event runs on to the next one."""
+    found = F.regexp_extract_all(s, F.lit(r"(?ims)^\s*E\d+\s*[:.\-]?\s*\S.*?(?=\r?\n\s*E\d+|\z)"), F.lit(0))
+    parse = lambda x: F.struct(F.regexp_extract(x, r"(?i)^\s*E(\d+)", 1).cast("int").alias("n"), F.btrim(collapse(F.regexp_extract(x, r"(?is)^\s*E\d+\s*[:.\-]?(.*)$", 1)), F.lit(" .")).alias("text"))
     return F.transform(found, parse)
 
 
 def contiguous(es: Column) -> Column:
-    """Whether events are numbered 1, 2, ... in order."""
-    return (F.size(es) > 0) & F.forall(F.transform(es, lambda e, i: e["n"] == i + 1), lambda x: x)
+    """Whether the numbers of events are 1 to the greatest, in any order."""
+    n = F.array_distinct(F.transform(es, lambda e: e["n"]))
+    return F.coalesce((F.array_min(n) == 1) & (F.array_max(n) == F.size(n)), F.lit(False))
 
 
 def numbers(s: Column) -> Column:
@@ -137,15 +161,40 @@ def best_number(texts: Column) -> Column:
 
 
 def low_information(s: Column) -> Column:
-    """Clock faces and broadcaster marks: text that tells nothing about a scene."""
-    t = collapse(F.upper(s))
-    return t.rlike(r"^\d{1,2}[:.]\d{2}([:.]\d{2})?$") | t.rlike(r"^(HTV\d*|VTV\d*|HD|LIVE)( (HD|LIVE))*$")
+    """Empty text, clock faces and broadcaster marks, alone or mixed: text that tells nothing about a scene."""
+    t = F.trim(F.coalesce(s, F.lit("")))
+    clock = lambda x: x.rlike(rf"^\s*{cues.CLOCK}\s*$")
+    mark = lambda x: signature(x).rlike(f"^{cues.BROADCASTER}$")
+    rest = F.regexp_replace(t, cues.LOOSE_CLOCK, " ")
+    return (t == "") | clock(t) | mark(t) | mark(rest) | F.forall(F.split(t, r"\s+"), lambda x: clock(x) | mark(x))
+
+
+def safe_component(s: Column, fallback: str = "query") -> Column:
+    """A file name part: runs of other characters as ``-``, no ``.`` or ``-`` at the ends, 80 characters at most."""
+    t = F.btrim(F.regexp_replace(F.trim(s), r"[^A-Za-z0-9._-]+", "-"), F.lit(".-"))
+    return F.substring(F.coalesce(F.nullif(t, F.lit("")), F.lit(fallback)), 1, 80)
+
 
+def safe_zip_name(s: Column) -> Column:
+    """An archive's name: the letters and digits of its stem, 80 at most, and ``.zip``."""
+    stem = F.regexp_replace(F.element_at(F.split(s, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return F.concat(F.substring(F.coalesce(F.nullif(F.regexp_replace(stem, "[^A-Za-z0-9]+", ""), F.lit("")), F.lit("submission")), 1, 80), F.lit(".zip"))
 
-def safe_component(s: Column) -> Column:
-    """A file name part: runs of other characters as ``_``, 80 characters at most, ``query`` if nothing is left."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(s), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    return F.coalesce(F.nullif(F.substring(t, 1, 80), F.lit("")), F.lit("query"))
+
+def padded_id(prefix: str, number: Column, width: int = 6) -> Column:
+    """``prefix`` and the number with zeros ahead; a longer number is not cut."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0")))
+
+
+def zoned_time(s: Column) -> Column:
+    """An ISO time as a timestamp; null if it is none or names no zone."""
+    return F.when(s.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(F.regexp_replace(s, "[Zz]$", "+00:00")))
+
+
+def compact_utc(t: Column) -> Column:
+    """A timestamp as ``yyyyMMddTHHmmssZ``, for a session whose zone is UTC."""
+    return F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
 
 
 def is_sha256(s: Column) -> Column:
@@ -179,8 +228,20 @@ def nfc(s: Column) -> Column:
 
 
 def normal_form(s: Column) -> Column:
-    """Composed, lower-cased and whitespace collapsed: the form in which two readings are equal."""
-    return collapse(F.lower(nfc(s)))
+    """Composed, case-folded and whitespace collapsed: the form in which two readings are equal."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v).casefold())
+
+    return collapse(F.pandas_udf(run, "string")(s))
+
+
+def json_texts(s: Column) -> Column:
+    """Texts of a JSON value that may be a list, one text, or null: trimmed, without blanks and repeats, in order."""
+    listed = F.from_json(s, "array<string>")
+    one = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")
+    every = F.coalesce(F.when(s.rlike(r"^\s*\["), listed).otherwise(one), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(every, lambda x: collapse(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def similarity(a: Column, b: Column) -> Column:
