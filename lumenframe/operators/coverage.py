@@ -40,9 +40,24 @@ def by_group(regions: DataFrame, by: list[str]) -> DataFrame:
     n = lambda c: F.sum(c.cast("long"))
     done = F.col("routed") & F.col("has_result")
     a = regions.groupBy(*by).agg(n(F.col("routed")).alias("required"), n(done).alias("completed"), n(done & (F.size("rejection") == 0)).alias("accepted"), n(done & (F.size("rejection") > 0)).alias("residual"))
+    if "final_engine" in regions.columns:
+        e = regions.groupBy(*by, F.coalesce("final_engine", F.lit("none")).alias("e")).agg(F.count(F.lit(1)).alias("c"))
+        e = e.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "c")))).alias("engines"))
+        a = a.join(e, by)
     return a.withColumn("pending", F.col("required") - F.col("completed")).withColumn("state", reading_state(F.col("required"), F.col("completed"), F.col("residual")))
 
 
+def batch_report(regions: DataFrame, by: str) -> DataFrame:
+    """Frames, regions, overrides, what is left and the requests for it, by batch and over all (a row without a batch).
+
+    ``regions`` has final_engine, residual, and the shot's requests of 18 regions are counted. One
+    pass: a grouping by batch and shot gives the pages, and a rollup of it the rest.
+    """
+    r = regions.groupBy(by, "video_id", "shot_id").agg(F.collect_set("keyframe_uid").alias("f"), F.count(F.lit(1)).alias("regions"), F.count_if(F.col("final_engine") == "vintern").alias("overrides"), F.count_if(F.col("residual")).alias("residual"), F.collect_set(F.when(F.col("residual"), F.col("keyframe_uid"))).alias("g"))
+    r = r.select(by, F.size("f").alias("frames"), "regions", "overrides", "residual", F.size("g").alias("residual_frames"), F.ceil(F.col("residual") / 18).alias("requests"))
+    return r.rollup(by).agg(*[F.sum(c).cast("long").alias(c) for c in ("frames", "regions", "overrides", "residual", "residual_frames", "requests")])
+
+
 def config_metrics(results: DataFrame, min_recall: float = 0.98, min_frame_recall: float = 0.99) -> DataFrame:
     """Recall, false positives and speed of each detector setting, and whether it may be chosen.
 

@@ -67,15 +67,17 @@ def select_within_budget(candidates: DataFrame, request_cap: int, frame_cap: int
     """Whole shots by their greatest priority up to the request cap, frames up to the frame cap.
 
     The shot at which the frame cap is met is taken in part. ``candidates`` has video_id,
-    shot_id, keyframe_uid and priority. Shots are ranked in one ordered pass over a row per shot.
+    shot_id, keyframe_uid and priority. Only the shots up to the request cap, which the budget
+    pays for, are put in order; all others overflow.
     """
     shots = candidates.groupBy("video_id", "shot_id").agg(F.max("priority").alias("top"), F.count(F.lit(1)).alias("n"))
+    shots = shots.orderBy(F.col("top").desc(), "video_id", "shot_id").limit(request_cap)
     w = Window.partitionBy().orderBy(F.col("top").desc(), "video_id", "shot_id")
     shots = shots.withColumn("order", F.row_number().over(w)).withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    d = candidates.join(shots.select("video_id", "shot_id", "order", "before"), ["video_id", "shot_id"])
+    d = candidates.join(shots.select("video_id", "shot_id", "order", "before"), ["video_id", "shot_id"], "left")
     k = Window.partitionBy("video_id", "shot_id").orderBy(F.col("priority").desc(), "keyframe_uid")
     d = d.withColumn("k", F.row_number().over(k))
-    paid = (F.col("order") <= request_cap) & (F.col("before") + F.col("k") <= frame_cap)
+    paid = F.col("order").isNotNull() & (F.col("before") + F.col("k") <= frame_cap)
     return d.withColumn("route", F.when(paid, "paid").otherwise("overflow")).drop("order", "before", "k")
 
 

@@ -146,8 +146,24 @@ def review_route(text: Column, routed: Column, has_result: Column, residual: Col
 
 
 def stratum(text: Column, confidence: Column, reasons: Column) -> Column:
-    """Five strata for a review sample."""
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").when(confidence < HARD, "low").when(F.size(reasons) > 0, "selective").when(confidence < 0.8, "middle").otherwise("high")
+    """Five strata of routed regions for a review sample. A null confidence is 0."""
+    c = F.coalesce(confidence, F.lit(0.0))
+    mixed = F.array_contains(reasons, "region_mixed_0_40_to_0_60")
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty_text").when(c < 0.30, "confidence_lt_0_30").when(c < HARD, "confidence_0_30_to_0_40").when(mixed, "mixed_0_40_to_0_60").otherwise("glyph_or_noise_0_40_to_0_60")
+
+
+def label_join(labels: DataFrame, regions: DataFrame, results: DataFrame) -> DataFrame:
+    """Ground truth beside regions and their second readings (candidate_id), with a verdict.
+
+    ``labels`` has candidate_id, keyframe_uid and truth, ``regions`` candidate_id, keyframe_uid and
+    easyocr_text, ``results`` candidate_id and vintern_text. The verdict is ``ok``, or names what
+    is missing or whose frame is another; a guarded reading counts as wrong.
+    """
+    r = regions.select("candidate_id", F.col("keyframe_uid").alias("region_uid"), "easyocr_text")
+    j = labels.join(r, "candidate_id", "left").join(results.select("candidate_id", "vintern_text", F.lit(True).alias("read")), "candidate_id", "left")
+    verdict = F.when(F.col("region_uid").isNull(), "missing_region").when(F.col("read").isNull(), "missing_result").when(F.col("region_uid") != F.col("keyframe_uid"), "other_frame").otherwise("ok")
+    right = (T.collapse(F.lower("vintern_text")) == T.collapse(F.lower("truth"))) & (F.size(output_reasons(F.col("easyocr_text"), F.col("vintern_text"))) == 0)
+    return j.select("candidate_id", "keyframe_uid", verdict.alias("verdict"), F.when(verdict == "ok", F.coalesce(right, F.lit(False))).alias("correct"))
 
 
 def reuse_is_safe(source: Column, cosine: Column, layout: Column, ssim: Column, phash: Column, least: float = 0.98, most: int = 2) -> Column:

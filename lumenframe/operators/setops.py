@@ -54,6 +54,19 @@ def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
+def keep_present(rows: DataFrame, listing: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Rows whose file is in a listing."""
+    return rows.join(listing.select(path).distinct(), path, "left_semi")
+
+
+def select_groups(rows: DataFrame, names: list, by: str) -> DataFrame:
+    """Rows of the named groups, in the order of the names (``place``); a name without rows fails the query when it runs."""
+    asked = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(names)], f"place int, {by} {rows.schema[by].dataType.simpleString()}")
+    j = asked.join(rows.withColumn("there", F.lit(True)), by, "left")
+    lost = F.raise_error(F.concat(F.lit("not in the catalog: "), F.col(by).cast("string"))).cast("boolean")
+    return j.filter(F.when(F.col("there").isNull(), lost).otherwise(True)).drop("there")
+
+
 def claimed_counts(rows: DataFrame, claims: DataFrame, by: str) -> DataFrame:
     """Groups whose number of rows is not the claimed one."""
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("actual"))

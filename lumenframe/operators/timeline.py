@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import staged
 
 def _order(*by: str):
     return Window.partitionBy(*by).orderBy("pts_time", "frame_id")
@@ -72,11 +73,36 @@ def exclude(frames: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def nearest_frame(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """For each segment the frame of its video that serves it: inside it and nearest its start, else nearest its start."""
-    j = segments.join(frames.select("video_id", "keyframe_uid", "pts_time"), "video_id")
-    inside = F.col("pts_time").between(F.col("start_time"), F.col("end_time"))
-    best = F.min(F.struct((~inside).alias("outside"), F.abs(F.col("pts_time") - F.col("start_time")).alias("gap"), "pts_time", "keyframe_uid")).alias("b")
-    return j.groupBy("video_id", "segment_id").agg(best).select("video_id", "segment_id", F.col("b.keyframe_uid").alias("keyframe_uid"), (~F.col("b.outside")).alias("inside"))
+    """For each segment the frame of its video that serves it: inside it and nearest its start, else nearest its start.
+
+    An as-of join: frames and segments lie on one line of time, and each segment takes the last
+    frame before its start and the first one from there on, carried along the line in two ordered
+    passes; no segment meets all frames of its video.
+    """
+    f = frames.groupBy("video_id", "pts_time").agg(F.min("keyframe_uid").alias("keyframe_uid"))
+    f = f.select("video_id", F.col("pts_time").alias("at"), F.struct(F.col("pts_time").alias("t"), "keyframe_uid").alias("frame"), F.lit(1).alias("kind"), F.lit(None).cast(segments.schema["segment_id"].dataType).alias("segment_id"), F.lit(None).cast("double").alias("end_time"))
+    s = segments.select("video_id", F.col("start_time").cast("double").alias("at"), F.lit(None).cast(f.schema["frame"].dataType).alias("frame"), F.lit(0).alias("kind"), "segment_id", F.col("end_time").cast("double").alias("end_time"))
+    line = f.unionByName(s)
+    before = Window.partitionBy("video_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("video_id").orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = line.withColumn("prev", F.last("frame", ignorenulls=True).over(before)).withColumn("next", F.last("frame", ignorenulls=True).over(after))
+    d = d.filter("kind = 0").filter(F.col("prev").isNotNull() | F.col("next").isNotNull())
+    inside = F.coalesce(F.col("next.t") <= F.col("end_time"), F.lit(False))
+    earlier = F.coalesce(F.col("at") - F.col("prev.t") <= F.col("next.t") - F.col("at"), F.col("next").isNull())
+    chosen = F.when(inside, F.col("next")).when(earlier, F.col("prev")).otherwise(F.col("next"))
+    return d.select("video_id", "segment_id", chosen["keyframe_uid"].alias("keyframe_uid"), inside.alias("inside"))
+
+
+def rank_over_all(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rank`` from 1 over the whole table: ordered by ranges, numbered in each, and moved on by the rows of the ranges ahead.
+
+    The ordered rows are written down, so both passes see the same ranges.
+    """
+    d = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    n = d.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))
+    ahead = n.select("range_", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a range
+    w = Window.partitionBy("range_").orderBy(*order)
+    return d.join(ahead, "range_").withColumn("rank", F.col("ahead") + F.row_number().over(w)).drop("range_", "ahead")
 
 
 def representatives(shots: DataFrame) -> DataFrame:

@@ -21,12 +21,14 @@ def submission_violations(rows: DataFrame, catalog: DataFrame, event_count: int
     in strictly rising time; a query has 1 to 100 rows, all different. Rows without a reason are
     not returned.
     """
-    r = rows.withColumn("row_", F.monotonically_increasing_id())
-    f = r.select("row_", "video_id", F.posexplode("frame_ids").alias("p", "frame_id")).join(catalog.select("video_id", "frame_id", "pts_time"), ["video_id", "frame_id"], "left")
-    t = f.groupBy("row_").agg(F.count_if(F.col("pts_time").isNull()).alias("unknown"), F.transform(F.array_sort(F.collect_list(F.struct("p", "pts_time"))), lambda x: x["pts_time"]).alias("times"))
+    keys = rows.select("video_id", "frame_ids").distinct()
+    f = keys.select("video_id", "frame_ids", F.posexplode("frame_ids").alias("p", "frame_id")).join(catalog.select("video_id", "frame_id", "pts_time"), ["video_id", "frame_id"], "left")
+    t = f.groupBy("video_id", "frame_ids").agg(F.count_if(F.col("pts_time").isNull()).alias("unknown"), F.transform(F.array_sort(F.collect_list(F.struct("p", "pts_time"))), lambda x: x["pts_time"]).alias("times"))
+    t = t.withColumnsRenamed({"video_id": "v_", "frame_ids": "f_"})
     rising = F.forall(F.sequence(F.lit(2), F.greatest(F.size("times"), F.lit(2))), lambda i: (F.size("times") < 2) | (F.element_at("times", i) > F.element_at("times", i - 1)))
-    same = Window.partitionBy("query_name", "video_id", "frame_ids", "answer").orderBy("row_")
-    d = r.join(t, "row_", "left").withColumn("copy", F.row_number().over(same)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("query_name")))
+    # Rows of one key are alike in all that is told of them, so it does not matter which is the copy.
+    same = Window.partitionBy("query_name", "video_id", "frame_ids", "answer").orderBy("query_name")
+    d = rows.join(t, rows["video_id"].eqNullSafe(t["v_"]) & rows["frame_ids"].eqNullSafe(t["f_"]), "left").withColumn("copy", F.row_number().over(same)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("query_name")))
     qa, seq = F.col("task") == "QA", F.col("task") == "TRAKE"
     answer = F.trim(F.coalesce("answer", F.lit("")))
     reasons = _named(

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries scored together: a block of them is sent to the executors, never the whole set.
-QUERY_BLOCK = 1024
+#: Vectors and queries of a block, and blocks of queries whose best a task holds at once.
+VECTOR_BLOCK, QUERY_BLOCK, HELD_BLOCKS = 4096, 1024, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,46 +27,53 @@ def _best(uids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return uids[order], scores[order]
 
 
+def _blocks(rows: DataFrame, key: str, channel: str, size: int, prefix: str) -> DataFrame:
+    """Rows of up to ``size`` vectors of one partition: ids and a matrix, both as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                ids, flat = part.column(0).to_numpy(), part.column(1).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_matrix"])
+
+    some = rows.filter(F.col(channel).isNotNull()).select(F.col(key).cast("long"), F.col(channel).cast("array<double>"))
+    return some.mapInArrow(run, f"{prefix}_ids binary, {prefix}_matrix binary")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, channel: str, k: int) -> DataFrame:
     """query_id, keyframe_uid, score and rank (from 1) of the k nearest vectors of each query.
 
-    Each task multiplies its vectors with a block of queries and keeps k a query, so what is
-    shuffled is k rows a query and task, whatever the number of vectors.
+    Vectors and queries are packed into blocks where they lie; each block of vectors meets each
+    block of the stated queries in one matrix product, and a task keeps k a query. The blocks are
+    rows: the planner broadcasts the smaller side if its size allows and else pairs partitions.
     """
-    out = None
-    block: list = []
-    for q in [*queries.select("query_id", channel).toLocalIterator(), None]:
-        if q is not None:
-            block.append(q)
-        if block and (q is None or len(block) == QUERY_BLOCK):
-            part = _scan(vectors, block, channel, k)
-            out = part if out is None else out.unionByName(part)
-            block = []
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, keyframe_uid long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "keyframe_uid")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _scan(vectors: DataFrame, block: list, channel: str, k: int) -> DataFrame:
-    ids = [q["query_id"] for q in block]
-    matrix = np.array([q[channel] for q in block], np.float64)
+    pairs = _blocks(vectors, "keyframe_uid", channel, VECTOR_BLOCK, "v").crossJoin(_blocks(queries, "query_id", channel, QUERY_BLOCK, "q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            uids, scores = b.column(0).to_numpy(), matrix @ v.T
-            for i, (u, s) in enumerate(best):
-                top = _best(uids, scores[i], k)
-                best[i] = _best(np.concatenate([u, top[0]]), np.concatenate([s, top[1]]), k)
-        for q, (u, s) in zip(ids, best, strict=True):
-            if len(u):
+        held: dict[bytes, list] = {}
+
+        def out(key: bytes) -> Iterator[pa.RecordBatch]:
+            for q, (u, s) in zip(np.frombuffer(key, "<i8").tolist(), held.pop(key), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), q)), pa.array(u), pa.array(s)], names=["query_id", "keyframe_uid", "score"])
 
-    return vectors.filter(F.col(channel).isNotNull()).select(F.col("keyframe_uid").cast("long"), channel).mapInArrow(run, "query_id long, keyframe_uid long, score double")
+        for b in batches:
+            for v_ids, v_m, q_ids, q_m in zip(*(b.column(i) for i in range(4)), strict=True):
+                key, uids, ids = q_ids.as_py(), np.frombuffer(v_ids.as_py(), "<i8"), np.frombuffer(q_ids.as_py(), "<i8")
+                scores = np.frombuffer(q_m.as_py(), "<f8").reshape(len(ids), -1) @ np.frombuffer(v_m.as_py(), "<f8").reshape(len(uids), -1).T
+                if key not in held:
+                    if len(held) == HELD_BLOCKS:
+                        yield from out(next(iter(held)))
+                    held[key] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+                for i, (u, s) in enumerate(held[key]):
+                    top = _best(uids, scores[i], k)
+                    held[key][i] = _best(np.concatenate([u, top[0]]), np.concatenate([s, top[1]]), k)
+        for key in list(held):
+            yield from out(key)
+
+    found = pairs.select("v_ids", "v_matrix", "q_ids", "q_matrix").mapInArrow(run, "query_id long, keyframe_uid long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "keyframe_uid")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def score_given(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, channels: list[str]) -> DataFrame:
