@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, frames, reports, retrieval, texts
+from .queries import ORACLE_SQL, QUERIES, collection, frames, reports, retrieval, texts
 
-__all__ = ["ORACLE_SQL", "QUERIES", "frames", "reports", "retrieval", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "collection", "frames", "reports", "retrieval", "texts"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import SQL_REGIONS, regions, table
-from ..functions import text as T
 from ..operators import coverage, residuals, routing
+from ..workspace import staged
 from . import query
 
 KEY = ["keyframe_uid", "region_id"]
@@ -77,25 +77,32 @@ fin AS (SELECT *, decision = 'calibrated_confidence_strictly_greater' AS won, ro
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written down: the table and the rows that are looked up in it both come from here."""
+    return staged(_unstaged(spark, sf_dir), "examples")
+
+
+def _unstaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).withColumn("buckets", routing.buckets(F.col("easyocr_text"), F.col("vintern_text"))).withColumn("correct", F.lower("vintern_text") == F.lower("truth"))
 
 
-def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.fit_calibration(_examples(spark, sf_dir).filter("keyframe_uid % 5 = 0"))
+def _table(examples: DataFrame) -> DataFrame:
+    return routing.fit_calibration(examples.filter("keyframe_uid % 5 = 0"))
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.overrides(routing.calibrated(_examples(spark, sf_dir), _calibration(spark, sf_dir)))
+    e = _examples(spark, sf_dir)
+    return routing.overrides(routing.calibrated(e, _table(e)))
 
 
 @query(f"WITH {SQL_BASE}, {SIGNALS} SELECT bucket, support, correct, round(correct / support, 6) AS accuracy FROM cal")
 def calibration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calibration(spark, sf_dir).withColumn("accuracy", F.round("accuracy", 6))
+    return _table(_unstaged(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(f"WITH {SQL_BASE}, {SIGNALS} SELECT keyframe_uid, region_id, bucket, bucket_support, round(calibrated, 6) AS calibrated FROM dec1")
 def calibration_backoff_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = routing.calibrated(_examples(spark, sf_dir), _calibration(spark, sf_dir))
+    e = _examples(spark, sf_dir)
+    c = routing.calibrated(e, _table(e))
     return c.select(*KEY, "bucket", "bucket_support", F.round("calibrated", 6).alias("calibrated"))
 
 
@@ -104,12 +111,16 @@ def override_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _final(spark, sf_dir).select(*KEY, "decision", "final_text", F.round("final_confidence", 6).alias("final_confidence"), "final_engine", "residual")
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"WITH {SQL_BASE}, {SIGNALS} SELECT keyframe_uid, region_id FROM fin WHERE keyframe_uid % 97 = 0 OR (keyframe_uid % 89 = 0 AND won)")
 def override_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.override_violations(_final(spark, sf_dir)).agg(F.count(F.lit(1)).alias("violations"))
+    """The audit finds the rows that were tampered with, and no other: another engine, or another confidence."""
+    f, k = _final(spark, sf_dir), F.col("keyframe_uid")
+    f = f.withColumn("final_confidence", F.when(k % 89 == 0, F.col("final_confidence") + 0.5).otherwise(F.col("final_confidence")))
+    other = F.when(F.col("final_engine") == "vintern", "easyocr").otherwise("vintern")
+    return routing.override_violations(f.withColumn("final_engine", F.when(k % 97 == 0, other).otherwise(F.col("final_engine")))).select(*KEY)
 
 
-@query(f"WITH {SQL_BASE}, {SIGNALS} SELECT keyframe_uid, region_id, CASE WHEN trim(easyocr_text) = '' THEN 'no_text_control' WHEN NOT routed THEN 'easyocr_pass' WHEN NOT has_result THEN NULL WHEN residual THEN 'gemini_residual' ELSE 'vintern_pass' END AS route, CASE WHEN trim(easyocr_text) = '' THEN 'empty' WHEN easyocr_confidence < 0.4 THEN 'low' WHEN len(reasons) > 0 THEN 'selective' WHEN easyocr_confidence < 0.8 THEN 'middle' ELSE 'high' END AS stratum FROM fin")
+@query(f"WITH {SQL_BASE}, {SIGNALS} SELECT keyframe_uid, region_id, CASE WHEN trim(easyocr_text) = '' THEN 'no_text_control' WHEN NOT routed THEN 'easyocr_pass' WHEN NOT has_result THEN NULL WHEN residual THEN 'gemini_residual' ELSE 'vintern_pass' END AS route, CASE WHEN trim(easyocr_text) = '' THEN 'empty_text' WHEN easyocr_confidence < 0.3 THEN 'confidence_lt_0_30' WHEN easyocr_confidence < 0.4 THEN 'confidence_0_30_to_0_40' WHEN list_contains(reasons, 'region_mixed_0_40_to_0_60') THEN 'mixed_0_40_to_0_60' ELSE 'glyph_or_noise_0_40_to_0_60' END AS stratum FROM fin")
 def review_route_and_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = routing.review_route(F.col("easyocr_text"), F.col("routed"), F.col("has_result"), F.col("residual"))
     return _final(spark, sf_dir).select(*KEY, route.alias("route"), routing.stratum(F.col("easyocr_text"), F.col("easyocr_confidence"), F.col("reasons")).alias("stratum"))
@@ -124,10 +135,12 @@ def residual_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", "video_id", "shot_id", F.col("regions").cast("long").alias("regions"), F.col("n_pages").cast("long").alias("n_pages"))
 
 
-@query("SELECT 0::BIGINT AS violations")
+@query(f"WITH {SQL_BASE}, {SIGNALS} SELECT keyframe_uid, region_id, 1::BIGINT AS want, CASE WHEN video_id % 7 = 0 THEN 0 ELSE 2 END::BIGINT AS have FROM fin WHERE residual AND (video_id % 7 = 0 OR video_id % 7 = 1)")
 def residual_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _final(spark, sf_dir).filter("residual")
-    return residuals.partition_violations(r, residuals.requests(r)).agg(F.count(F.lit(1)).alias("violations"))
+    """Requests that were lost or sent twice leave regions that are not held just once; all others part exactly."""
+    r = staged(_final(spark, sf_dir).filter("residual"), "residuals")
+    q = residuals.requests(r).filter("video_id % 7 != 0")
+    return residuals.partition_violations(r, q.unionByName(q.filter("video_id % 7 = 1"))).select(*KEY, F.col("want").cast("long").alias("want"), F.col("have").cast("long").alias("have"))
 
 
 _VND = "ceil(((n_sheets * 256 + requests * 160 + regions * 8) / 1000000.0::DOUBLE * {a}::DOUBLE + (requests * 20 + regions * 48) / 1000000.0::DOUBLE * {b}::DOUBLE) * 1.15::DOUBLE * 26300)::BIGINT"
@@ -219,7 +232,7 @@ def coverage_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_BASE}, c AS (SELECT shot_id AS batch, {_COVER} FROM rt GROUP BY ROLLUP (shot_id)) SELECT *, {_STATE} FROM c")
 def batch_summary_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each batch, and of all as the row without a batch."""
-    r = routed(spark, sf_dir).withColumn("batch", F.col("shot_id"))
+    r = staged(routed(spark, sf_dir).select(F.col("shot_id").alias("batch"), "routed", "has_result", "rejection"), "routed")
     every = coverage.by_group(r.withColumn("batch", F.lit(None).cast("string")), ["batch"])
     return coverage.by_group(r, ["batch"]).unionByName(every)
 
@@ -271,20 +284,19 @@ def publishing_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.readiness(c).withColumn("missing", F.array_join("missing", ","))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS regions, count(DISTINCT l_orderkey) AS frames, round(avg(l_tax), 6) AS latency FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@query(f"WITH {SQL_BASE}, {SIGNALS}, g AS (SELECT shot_id AS batch, video_id, count(DISTINCT keyframe_uid) AS frames, count(*) AS regions, sum(won::INT) AS overrides, sum(residual::INT) AS residual, count(DISTINCT keyframe_uid) FILTER (WHERE residual) AS residual_frames, ceil(sum(residual::INT) / 18.0) AS requests FROM fin GROUP BY shot_id, video_id) SELECT batch, sum(frames)::BIGINT AS frames, sum(regions)::BIGINT AS regions, sum(overrides)::BIGINT AS overrides, sum(residual)::BIGINT AS residual, sum(residual_frames)::BIGINT AS residual_frames, sum(requests)::BIGINT AS requests FROM g GROUP BY ROLLUP (batch)")
+def batch_report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, regions, overrides and what is left for the paid reader, by batch and in all."""
+    return coverage.batch_report(_final(spark, sf_dir).withColumn("batch", F.col("shot_id")), "batch")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS regions, count(DISTINCT l_orderkey) AS frames, round(avg(l_tax) FILTER (WHERE l_quantity > 5), 6) AS latency FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def rollup_cube_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over all lines, the mean latency over successful ones alone."""
     li = table(spark, sf_dir, "lineitem")
-    return li.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("regions"), F.countDistinct("l_orderkey").alias("frames"), F.round(F.avg("l_tax"), 6).alias("latency"))
+    return li.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("regions"), F.countDistinct("l_orderkey").alias("frames"), F.round(F.avg(F.when(F.col("l_quantity") > 5, F.col("l_tax"))), 6).alias("latency"))
 
 
 @query()
 def approx_distinct_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("frames"))
-
-
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'trash|idiot') THEN 'flag' ELSE 'pass' END AS guard FROM documents")
-def grounded_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a span lies in a text once case and whitespace are levelled."""
-    t = F.lower(T.collapse(F.col("text")))
-    found = F.contains(t, F.lit("trash")) | F.contains(t, F.lit("idiot"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(found, "flag").otherwise("pass").alias("guard"))

@@ -232,7 +232,7 @@ def distinct_shot_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("video_id", "shot_id", "keyframe_uid", F.round("score", 5).alias("score"), F.row_number().over(w).cast("long").alias("place"))
 
 
-PORTFOLIO = """hr AS (SELECT *, row_number() OVER (ORDER BY video_score DESC, video_id) - 1 AS rnk FROM hyp),
+PORTFOLIO = """hr AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY video_score DESC, video_id) - 1 AS rnk FROM hyp) WHERE rnk < 12),
 kc AS (SELECT o.*, rnk, video_score, 0.55 * video_score + 0.45 * score AS cs FROM one o JOIN hr USING (video_id)),
 ks AS (SELECT *, CASE WHEN rnk = 0 THEN row_number() OVER (PARTITION BY video_id, shot_id ORDER BY cs DESC, keyframe_uid) END AS sn FROM kc),
 kl AS (SELECT *, CASE WHEN sn = 1 THEN row_number() OVER (PARTITION BY video_id, sn ORDER BY cs DESC, keyframe_uid) END AS lead FROM ks),
@@ -254,10 +254,15 @@ pf AS (SELECT *, row_number() OVER (ORDER BY place >= opened, CASE WHEN place <
 
 
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.portfolio(_candidates(spark, sf_dir))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the first twelve videos."""
     h, one = _hypotheses(spark, sf_dir)
     w = Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")
-    v = h.withColumn("rank", F.row_number().over(w) - 1)
-    return portfolio.portfolio(portfolio.kis_candidates(v.select("video_id", "rank", "video_score"), one))
+    v = h.orderBy(F.col("video_score").desc(), "video_id").limit(12).withColumn("rank", F.row_number().over(w) - 1)
+    return portfolio.kis_candidates(v.select("video_id", "rank", "video_score"), one)
 
 
 @query(f"WITH {HYP}, {PORTFOLIO} SELECT position, video_id, keyframe_uid, round(cs, 5) AS score FROM pf WHERE position <= 100")
@@ -268,10 +273,7 @@ def kis_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HYP}, {PORTFOLIO} SELECT video_id, keyframe_uid, place, round(cs, 5) AS score FROM kp")
 def kis_candidates_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, one = _hypotheses(spark, sf_dir)
-    v = h.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")) - 1)
-    k = portfolio.kis_candidates(v.select("video_id", "rank", "video_score"), one)
-    return k.select("video_id", "keyframe_uid", F.col("place").cast("long").alias("place"), F.round("candidate_score", 5).alias("score"))
+    return _candidates(spark, sf_dir).select("video_id", "keyframe_uid", F.col("place").cast("long").alias("place"), F.round("candidate_score", 5).alias("score"))
 
 
 @query(f"WITH {HYP}, {PORTFOLIO} SELECT video_id, count(*) AS places, min(position) AS first_position FROM pf WHERE position <= 100 GROUP BY video_id")
@@ -286,12 +288,17 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("row").cast("long").alias("row_no"), F.col("page").cast("long").alias("page"), "video_id", "keyframe_uid")
 
 
-@query(f"WITH RECURSIVE {HYP}, s AS (SELECT video_id, round(video_score, 2) AS v, consensus AS c, row_number() OVER (ORDER BY round(video_score, 2) DESC, video_id) AS n FROM hyp), "
+@query(f"WITH RECURSIVE {HYP}, cl AS (SELECT keyframe_uid, max(clip) AS clip FROM dots GROUP BY keyframe_uid), su AS (SELECT video_id, max(clip) AS c FROM b3 JOIN cl USING (keyframe_uid) WHERE k <= 3 GROUP BY video_id), s AS (SELECT video_id, video_score AS v, c, row_number() OVER (ORDER BY video_score DESC, video_id) AS n FROM hyp LEFT JOIN su USING (video_id)), "
        "g AS (SELECT video_id, v, c, n, v AS leader FROM s WHERE n = 1 UNION ALL SELECT s.video_id, s.v, s.c, s.n, CASE WHEN g.leader - s.v <= 0.02 THEN g.leader ELSE s.v END FROM g JOIN s ON s.n = g.n + 1) "
-       "SELECT video_id, row_number() OVER (ORDER BY leader DESC, c DESC, v DESC, video_id) AS rank FROM g")
+       "SELECT video_id, row_number() OVER (ORDER BY leader DESC, c DESC NULLS LAST, v DESC, video_id) AS rank FROM g")
 def clip_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hypotheses(spark, sf_dir)[0].select("video_id", F.round("video_score", 2).alias("video_score"), F.col("consensus").alias("support"))
-    return ranking.tie_break(h).select("video_id", F.col("rank").cast("long").alias("rank"))
+    """Close videos in the order of the best clip score of their three best frames."""
+    h, one = _hypotheses(spark, sf_dir)
+    v, q = vectors(spark, sf_dir), query_vectors(spark, sf_dir)
+    grid = one.select("keyframe_uid").distinct().crossJoin(q.select("query_id"))  # found frames times the stated queries
+    clip = vector_search.score_given(grid, v, q, ["clip"]).groupBy("keyframe_uid").agg(F.max("clip").alias("clip"))
+    support = ranking.clip_support(one.join(clip, "keyframe_uid"))
+    return ranking.tie_break(h.select("video_id", "video_score").join(support, "video_id", "left")).select("video_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {HYP}, p AS (SELECT video_id, video_score, row_number() OVER (ORDER BY video_score DESC, video_id) - 1 AS pos FROM hyp), vl AS (SELECT video_id, pos, (video_id * 37 % 100) / 100.0::DOUBLE AS vlm FROM p WHERE pos < 4) "
@@ -373,15 +380,16 @@ def trake_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QA = """nums AS (SELECT video_id, keyframe_uid, row_number() OVER (PARTITION BY video_id ORDER BY keyframe_uid) AS r, text FROM (SELECT label AS video_id, doc_id AS keyframe_uid, text FROM documents JOIN embeddings ON doc_id = vec_id)),
-nf AS (SELECT video_id, r, unnest(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) AS v FROM nums WHERE r <= 20),
+nf AS (SELECT video_id, r, unnest(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) AS v FROM nums),
 ans AS (SELECT video_id, arg_max(v, (length(regexp_replace(v, '\\D', '', 'g')), -r, v)) AS answer FROM nf GROUP BY video_id)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number with most digits in any text of a video; of equals that of the earliest text."""
     d = texts(spark, sf_dir).drop("video_id").join(vectors(spark, sf_dir).select("keyframe_uid", "video_id"), "keyframe_uid")
-    w = Window.partitionBy("video_id").orderBy("keyframe_uid")
-    d = d.withColumn("r", F.row_number().over(w)).filter("r <= 20").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("l"))
-    return d.select("video_id", T.best_number(F.transform("l", lambda x: x["text"])).alias("answer")).filter("answer is not null")
+    n = d.select("video_id", "keyframe_uid", F.explode(T.numbers(F.col("text"))).alias("v"))
+    best = F.max(F.struct(F.length(F.regexp_replace("v", r"\D", "")).alias("digits"), (-F.col("keyframe_uid")).alias("early"), "v"))
+    return n.groupBy("video_id").agg(best["v"].alias("answer"))
 
 
 @query(f"WITH {QA} SELECT video_id, answer FROM ans")
@@ -393,7 +401,7 @@ def qa_number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT video_id, keyframe_uid, answer, round(least(1.0, greatest(0.0, 0.6 * video_score + 0.4 * top), 0.78), 5) AS confidence, round(0.55 * video_score + 0.45 * score, 5) AS score, true AS requires_review FROM q JOIN ans USING (video_id) WHERE n <= 12".replace("least(1.0, greatest(0.0, 0.6 * video_score + 0.4 * top), 0.78)", "least(least(1.0, greatest(0.0, 0.6 * video_score + 0.4 * top)), 0.78)"))
 def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, one = _hypotheses(spark, sf_dir)
-    v = h.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")) - 1)
+    v = h.orderBy(F.col("video_score").desc(), "video_id").limit(3).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col("video_score").desc(), "video_id")) - 1)
     c = portfolio.qa_candidates(v.select("video_id", "rank", "video_score"), one, _answers(spark, sf_dir).withColumn("answer_confidence", F.lit(0.78)))
     return c.select("video_id", "keyframe_uid", "answer", F.round("confidence", 5).alias("confidence"), F.round("candidate_score", 5).alias("score"), "requires_review")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,13 +77,19 @@ class Drafts:
         return writers.submission_zip(out)
 
     def save(self, path: str) -> None:
-        aside = Path(f"{path}.part")
-        aside.write_text(json.dumps({"schema_version": VERSION, "queries": self.queries, "rows": self.rows}))
-        aside.replace(path)
+        """To any store that Spark writes, written aside and moved into place."""
+        fs, p = writers._fs(self.spark, path)
+        aside = p(f"{path}.part")
+        out = fs.create(aside, True)
+        out.write(bytearray(json.dumps({"schema_version": VERSION, "queries": self.queries, "rows": self.rows}).encode()))
+        out.close()
+        fs.delete(p(path), False)
+        if not fs.rename(aside, p(path)):
+            raise RuntimeError(f"the drafts could not be moved to {path}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Drafts:
-        data = json.loads(Path(path).read_text())
+        data = json.loads(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
         if data.get("schema_version") != VERSION:
             raise ValueError("another version of drafts")
         return cls(spark, {k: (t, n) for k, (t, n) in data["queries"].items()}, data["rows"])

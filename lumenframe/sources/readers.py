@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from .. import schemas
 from ..functions import text as T
@@ -49,14 +50,32 @@ def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(~F.col("value").rlike(r"^\s*\{") | F.try_parse_json("value").isNull())
 
 
-def read_manifest(spark: SparkSession, path: str, field: str, item: str, version: int) -> DataFrame:
-    """Items of JSON manifests ``{schema_version, <field>: [...]}``; another version fails the query."""
-    m = spark.read.schema(f"schema_version int, video_id string, {field} array<struct<{item}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_manifest(spark: SparkSession, path: str, field: str, item: str, version: int, lines: bool = False) -> DataFrame:
+    """Items of JSON manifests ``{schema_version, <field>: [...]}``, a file each or a line each; another version fails the query."""
+    m = spark.read.schema(f"schema_version int, video_id string, {field} array<struct<{item}>>").option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     right = F.coalesce(F.col("schema_version") == version, F.lit(False))
     m = m.filter(F.when(right, True).otherwise(F.raise_error(F.concat(F.lit("schema_version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none"))) ).cast("boolean")))
     return m.select(F.col("video_id").alias("manifest_video_id"), F.explode(field).alias("x")).select("manifest_video_id", "x.*")
 
 
+def plan_violations(items: DataFrame) -> DataFrame:
+    """Manifests of keyframes (manifest_video_id and FRAMES) whose parts do not fit: rows of another video, repeated ids, frames that do not rise."""
+    w = Window.partitionBy("manifest_video_id").orderBy("local_idx")
+    d = items.withColumn("rises", F.coalesce(F.col("frame_id") > F.lag("frame_id").over(w), F.lit(True))).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("manifest_video_id", "keyframe_uid")))
+    tests = [(~F.col("video_id").eqNullSafe(F.col("manifest_video_id")), "other_video"), (F.col("same") > 1, "duplicate_uid"), (~F.col("rises"), "not_rising")]
+    reasons = F.array_compact(F.array(*[F.when(t, n) for t, n in tests]))
+    return d.select("manifest_video_id", "local_idx", F.explode(reasons).alias("reason"))
+
+
+def shot_violations(shots: DataFrame) -> DataFrame:
+    """Manifests of shots (manifest_video_id and SHOTS) with turned ranges, overlaps, or ids that do not count from ``s000001``."""
+    w = Window.partitionBy("manifest_video_id").orderBy("start_frame", "shot_id")
+    d = shots.withColumn("n", F.row_number().over(w)).withColumn("reached", F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    tests = [(F.col("end_frame") < F.col("start_frame"), "range"), (F.col("start_frame") <= F.col("reached"), "overlap"), (F.col("shot_id") != T.padded_id("s", F.col("n")), "numbering")]
+    reasons = F.array_compact(F.array(*[F.when(t, n) for t, n in tests]))
+    return d.select("manifest_video_id", "shot_id", F.explode(reasons).alias("reason"))
+
+
 def snapshot_from_envelopes(envelopes: DataFrame) -> DataFrame:
     """Snapshot rows: text, language and confidence only of successful readings."""
     ok = F.col("status") == "success"
@@ -75,18 +94,24 @@ def snapshot_from_regions(frames: DataFrame, text: str = "easyocr_text", confide
     weight = lambda r: T.visible_length(r[text]).cast("double")
     mean = F.try_divide(total(lambda r: weight(r) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r[confidence], F.lit(0.0))))), total(weight))
     ok = status == "success"
-    language = T.frame_language(F.exists(some, lambda r: F.coalesce(r["has_vi_marks"], F.lit(False))), F.exists(some, lambda r: F.coalesce(r["has_ascii_word"], F.lit(False))))
+    said = F.col("frame_mixed_candidate") if "frame_mixed_candidate" in frames.columns else None
+    language = T.frame_language(F.exists("regions", lambda r: F.coalesce(r["has_vi_marks"], F.lit(False))), F.exists("regions", lambda r: F.coalesce(r["has_ascii_word"], F.lit(False))), said)
     engine = F.when(F.exists("regions", lambda r: F.coalesce(r["final_engine"] == "vintern", F.lit(False))), "vintern").otherwise("easyocr") if text == "final_text" else F.lit("easyocr")
     return frames.select("video_id", "keyframe_uid", "frame_id", status.alias("status"), engine.alias("engine"), F.when(ok, F.array_join(F.transform(some, lambda r: F.trim(r[text])), "\n")).alias("detected_text"), F.when(ok, language).alias("language"), F.when(ok, mean).alias("confidence"))
 
 
 def read_npy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors of ``.npy`` shards: ``shard-<n>.uids.npy`` beside ``shard-<n>.vectors.npy`` (two-dimensional).
+    """Vectors of ``.npy`` shards: ``shard-<n>.uids.npy`` beside ``shard-<n>.vectors.npy`` (two-dimensional); see ``npy_vectors``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
+    return npy_vectors(files.select("path", "content"))
 
-    Returns shard, position, keyframe_uid and vector (float). A shard whose parts differ in
-    length fails the query. A shard is read whole by one task, as it was written.
+
+def npy_vectors(files: DataFrame) -> DataFrame:
+    """Vectors of shard files (path, content): shard, position, keyframe_uid and vector (float).
+
+    A shard whose parts differ in length, or lacks one, fails the query. A shard is read whole by
+    one task, as it was written.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     parts = files.select(F.regexp_extract(name, r"^(.*)\.(?:uids|vectors)\.npy$", 1).alias("shard"), F.regexp_extract(name, r"\.(uids|vectors)\.npy$", 1).alias("kind"), "content")
     both = parts.groupBy("shard").agg(F.max(F.when(F.col("kind") == "uids", F.col("content"))).alias("u"), F.max(F.when(F.col("kind") == "vectors", F.col("content"))).alias("v"))
@@ -103,7 +128,15 @@ def read_npy_vectors(spark: SparkSession, path: str) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(m), pa.string()), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(uids.astype(np.int64)), flat], names=["shard", "position", "keyframe_uid", "vector"])
 
-    return both.mapInArrow(run, "shard string, position int, keyframe_uid long, vector array<float>")
+    return both.mapInArrow(run, f"shard string, position int, {schemas.VECTORS}")
+
+
+def shard_gaps(shards: DataFrame) -> DataFrame:
+    """Numbers between 0 and the greatest that no shard ``shard-<n>`` has."""
+    n = shards.select(F.regexp_extract("shard", r"([0-9]+)$", 1).cast("long").alias("n")).distinct()
+    w = Window.orderBy("n")  # a row a shard
+    d = n.select("n", F.coalesce(F.lag("n").over(w), F.lit(-1)).alias("before"))
+    return d.filter("n > before + 1").select(F.explode(F.sequence(F.col("before") + 1, F.col("n") - 1)).alias("shard"))
 
 
 def vector_violations(vectors: DataFrame, catalog: DataFrame, dim: int) -> DataFrame:
@@ -118,11 +151,7 @@ def vector_violations(vectors: DataFrame, catalog: DataFrame, dim: int) -> DataF
 
 
 def read_query_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Queries of a folder of ``.txt`` files or of a ``.zip`` with them at its root, in natural order.
-
-    The task is the name's suffix (kis, qa, trake); a TRAKE query counts its events, which must
-    be numbered 1, 2, ... without a gap.
-    """
+    """Queries of a folder of ``.txt`` files or of a ``.zip`` with them at its root, in natural order; see ``query_specs``."""
     if path.endswith(".zip"):
         rows = []
         for f in spark.read.format("binaryFile").load(path).select("content").toLocalIterator():
@@ -131,12 +160,24 @@ def read_query_bundle(spark: SparkSession, path: str) -> DataFrame:
         d = spark.createDataFrame(rows, "file string, raw_query string")
     else:
         d = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw_query"))
-    name = F.regexp_replace("file", r"\.txt$", "")
-    task = F.upper(F.regexp_extract(name, r"(?i)[-_](kis|qa|trake)$", 1))
-    d = d.select(name.alias("query_name"), F.trim("raw_query").alias("raw_query"), F.when(task == "", F.raise_error(F.concat(F.lit("no task in name: "), name))).otherwise(task).alias("task"))
+    return query_specs(d).orderBy(T.natural_key(F.col("query_name")))
+
+
+def query_specs(files: DataFrame) -> DataFrame:
+    """Queries of text files (file, raw_query): query_name, raw_query, task and event_count.
+
+    The task is the name's suffix; a TRAKE query counts its events, whose numbers must be 1 to the
+    greatest, in any order. A name without a task, a repeated name and a gap fail the query.
+    """
+    name = F.regexp_replace("file", r"(?i)\.txt$", "")
+    task = F.upper(F.regexp_extract(name, r"(?i)-(kis|qa|trake)$", 1))
+    d = files.select(name.alias("query_name"), F.trim("raw_query").alias("raw_query"), F.when(task == "", F.raise_error(F.concat(F.lit("no task in name: "), name))).otherwise(task).alias("task"))
+    again = F.count(F.lit(1)).over(Window.partitionBy("query_name")) > 1
+    d = d.withColumn("again", again).filter(F.when(F.col("again"), F.raise_error(F.concat(F.lit("a name is there twice: "), F.col("query_name"))).cast("boolean")).otherwise(True)).drop("again")
     events = T.events(F.col("raw_query"))
-    n = F.when(F.col("task") == "TRAKE", F.when(T.contiguous(events), F.size(events)).otherwise(F.raise_error(F.concat(F.lit("events are not numbered in order: "), F.col("query_name"))).cast("int"))).otherwise(0)
-    return d.withColumn("event_count", n).orderBy(T.natural_key(F.col("query_name")))
+    numbers = F.transform(events, lambda e: e["n"])
+    n = F.when(F.col("task") == "TRAKE", F.when(T.contiguous(events), F.array_max(numbers)).otherwise(F.raise_error(F.concat(F.lit("events are not numbered without a gap: "), F.col("query_name"))).cast("int"))).otherwise(0)
+    return d.withColumn("event_count", n)
 
 
 def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
@@ -165,12 +206,18 @@ def probe_rows(probes: DataFrame) -> DataFrame:
     fps = F.coalesce(F.nullif(rate(F.col("v.avg_frame_rate")), F.lit(0.0)), F.nullif(rate(F.col("v.r_frame_rate")), F.lit(0.0)))
     length = F.coalesce(F.col("v.duration").try_cast("double"), F.col("j.format.duration").try_cast("double"))
     audio = F.exists("j.streams", lambda s: s["codec_type"] == "audio")
-    return p.select("video_id", "relative_path", "v.width", "v.height", fps.alias("fps"), length.alias("duration"), F.coalesce(F.col("v.nb_frames").try_cast("long"), F.round(length * fps).cast("long")).alias("frame_count"), audio.alias("has_audio"))
+    out = p.select("video_id", "relative_path", "v.width", "v.height", fps.alias("fps"), length.alias("duration"), F.coalesce(F.col("v.nb_frames").try_cast("long"), F.round(length * fps).cast("long")).alias("frame_count"), audio.alias("has_audio"))
+    return out.to(T_.StructType.fromDDL(schemas.INVENTORY))
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """``<64 hex>  <name>`` lines; a line of another form fails the query."""
-    d = spark.read.text(path).filter(F.col("value") != "")
+    """``checksums`` of a file."""
+    return checksums(spark.read.text(path))
+
+
+def checksums(lines: DataFrame) -> DataFrame:
+    """sha256 and name of ``<64 hex>  <name>`` lines (value); a line of another form fails the query."""
+    d = lines.filter(F.col("value") != "")
     good = F.col("value").rlike(r"^[0-9a-f]{64}  [^/\s][^\s]*$")
     d = d.filter(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not a checksum line: "), F.col("value"))).cast("boolean")))
     return d.select(F.substring("value", 1, 64).alias("sha256"), F.substr("value", F.lit(67)).alias("name"))

@@ -6,7 +6,10 @@ import hashlib
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,30 @@ def publish_catalog(frames: DataFrame, path: str) -> dict:
     return state
 
 
+def publish_manifests(items: DataFrame, path: str, field: str, order: list[str], version: int, by: str = "manifest_video_id") -> None:
+    """A JSON manifest a line for each video, ``{schema_version, video_id, <field>: [...]}`` with the items in order; an existing path is refused."""
+    rest = [c for c in items.columns if c != by]
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("item"))))  # a video's items
+    m = items.groupBy(by).agg(listed.alias("l")).select(F.lit(version).alias("schema_version"), F.col(by).alias("video_id"), F.transform("l", lambda x: x["item"]).alias(field))
+    publish(m, path, "json")
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, in new files beside those at ``path``."""
+    rows.write.mode("append").json(path)
+
+
+def rewrite_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines in place of what is at ``path``: written aside, and moved there once they are whole."""
+    spark = rows.sparkSession
+    fs, p = _fs(spark, path)
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.write.json(aside)
+    fs.delete(p(path), True)
+    if not fs.rename(p(aside), p(path)):
+        raise RuntimeError(f"{aside} could not be moved to {path}")
+
+
 def publish_snapshot(records: DataFrame, root: str, created: str) -> str:
     """An immutable snapshot folder named by time and content; returns its name.
 
@@ -77,6 +104,21 @@ def publish_vectors(vectors: DataFrame, path: str, shard: str) -> None:
     publish(vectors, f"{path}/shard={shard}")
 
 
+def npy_shards(vectors: DataFrame) -> DataFrame:
+    """Shard files (path, content) of rows of shard, keyframe_uid and vector, as ``.npy``; a shard is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for kind, values in (("uids", np.array([r["keyframe_uid"] for r in rows], np.int64)), ("vectors", np.array([r["vector"] for r in rows], np.float32))):
+                    out = io.BytesIO()
+                    np.save(out, values)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{shard}.{kind}.npy"], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+
+    listed = vectors.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("keyframe_uid", "vector"))).alias("rows"))
+    return listed.mapInArrow(run, "path string, content binary")
+
+
 def submission_lines(rows: DataFrame, task: str) -> DataFrame:
     """The lines of one query's CSV in order (``position``): no header, quotes only where needed."""
     need = lambda c: F.when(c.rlike('[",\r\n]') | (c == ""), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

@@ -181,9 +181,17 @@ def test_text_helpers(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
     assert get(T.best_number(F.array(F.lit("x 12 and 6549"), F.lit("77777")))) == "77777"
-    assert get(T.quoted(F.lit('say "a  b" or “c”'))) == ["a b", "c"]
+    assert get(T.quoted(F.lit('say "a  b" or “c” or ‘x’ or \'de\''))) == ["a b", "de"]
+    assert get(T.literals(F.lit("thông tin về giá vàng hiển thị cùng 'AB c', con số hiển thị"))) == ["AB c", "giá vàng"]
+    assert [get(T.value_type(F.lit(x))) for x in ("How many?", "màu gì", "WHO", "ở đâu", "tell")] == ["number", "color", "person", "place", "free_text"]
+    assert get(T.scenes(F.lit("Một người đi. Sau đó, anh ta nói - next: x"))) == ["Một người đi.", "anh ta nói"]
+    assert [get(T.frame_language(F.lit(a), F.lit(b), F.lit(c))) for a, b, c in ((True, False, None), (False, False, None), (True, True, False), (False, False, True))] == ["vi", "en", "mixed", "mixed"]
+    assert [get(T.low_information(F.lit(x))) for x in ("", "7:05", "VTV 3", "10:30 HTV7 HD", "live", None)] == [True, True, True, True, False, True]
+    assert get(T.safe_zip_name(F.lit("a/my file.v1.zip"))) == "myfilev1.zip"
+    assert get(T.json_texts(F.lit('[" a ", "b", "a", ""]'))) == ["a", "b"] and get(T.json_texts(F.lit('"x"'))) == ["x"] and get(T.json_texts(F.lit("null"))) == []
+    assert get(T.zoned_time(F.lit("2026-01-01T00:00:00"))) is None and get(T.compact_utc(T.zoned_time(F.lit("2026-01-01T02:00:00+02:00")))) == "20260101T000000Z"
     assert get(T.natural_key(F.lit("q10"))) > get(T.natural_key(F.lit("q9")))
-    assert get(T.safe_component(F.lit("../a b"))) == "a_b"
+    assert get(T.safe_component(F.lit("../a b"))) == "a-b" and get(T.safe_component(F.lit("?"))) == "query"
     assert get(T.first_json(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert get(T.similarity(F.lit("abcd"), F.lit("bcde"))) == 0.75
     assert not get(T.is_relative_path(F.lit("a/../b"))) and get(T.is_relative_path(F.lit("a/b.jpg")))
@@ -343,3 +351,54 @@ def test_no_query_or_setting_past_the_64th_is_dropped(spark):
     assert v.first()["video_score"] == pytest.approx(0.35 * e["locator"]["evidence"] + 0.45 * e["target"]["evidence"] + 0.10 * 0.69)
     results = spark.createDataFrame([(1, f"c{i}") for i in ids] + [(2, "c0")], "keyframe_uid long, config_id string")
     assert sorted(r["config_id"] for r in coverage.grid_gaps(results).collect()) == sorted(f"c{i}" for i in range(1, 70))
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector_search, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vector_search, "HELD_BLOCKS", 1)
+    m = np.random.default_rng(3).normal(size=(50, 4)).round(1)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "keyframe_uid long, clip array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m[:8])], "query_id long, clip array<double>")
+    got = {(r["query_id"], r["rank"]): r["keyframe_uid"] for r in vector_search.top_k(v, q, "clip", 5).collect()}
+    for i in range(8):
+        s = m @ m[i]
+        assert [got[i, n + 1] for n in range(5)] == sorted(range(50), key=lambda j: (-s[j], j))[:5]
+
+
+def test_nearest_frame_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    f = [(rng.choice("ab"), i, float(rng.randint(0, 40))) for i in range(60)] + [("c", 99, 5.0)]
+    s = [(rng.choice("abz"), i, float(a := rng.randint(-3, 45)), float(a + rng.randint(0, 6))) for i in range(50)]
+    got = {(r["video_id"], r["segment_id"]): (r["keyframe_uid"], r["inside"]) for r in timeline.nearest_frame(spark.createDataFrame(s, "video_id string, segment_id long, start_time double, end_time double"), spark.createDataFrame(f, "video_id string, keyframe_uid long, pts_time double")).collect()}
+    want = {}
+    for v, i, a, z in s:
+        own = [(not a <= t <= z, abs(t - a), t, k) for w, k, t in f if w == v]
+        if own:
+            want[v, i] = (min(own)[3], not min(own)[0])
+    assert got == want
+
+
+def test_rank_over_all_and_budget(spark):
+    d = spark.range(0, 500).select(((F.col("id") * 7919) % 1009).alias("x"), "id").repartition(6)
+    got = [r["rank"] for r in timeline.rank_over_all(d, [F.col("x"), F.col("id")]).orderBy("x", "id").collect()]
+    assert got == list(range(1, 501))
+
+
+def test_frame_rerank_and_payload(spark):
+    f = spark.createDataFrame([("v", i, 0.5) for i in range(4)], "video_id string, frame_id long, score double")
+    p = spark.createDataFrame([("v", "2", "x", ["3", "3", "9", "a", "1"], [" s ", ""])], "video_id string, must_score string, should_score string, ranked_frame_ids array<string>, scene_matches array<string>")
+    v = fusion.valid_verdicts(p, f)
+    assert tuple(v.first()) == ("v", 1.0, 0.0, [3, 1], ["s"])
+    assert [round(r["score"], 6) for r in fusion.rerank_frames(f, v).orderBy("frame_id").collect()] == [0.5, 0.35, 0.5, 0.65]
+
+
+def test_selection_names_what_is_not_there(spark):
+    d = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "v string, x int")
+    assert [r["x"] for r in setops.select_groups(d, ["b", "a"], "v").orderBy("place", "x").collect()] == [2, 1, 3]
+    with pytest.raises(Exception, match="not in the catalog: c"):
+        setops.select_groups(d, ["c"], "v").collect()
