@@ -3,241 +3,242 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import packed, utf8
+from .common import MOST_SEEN, mapped, packed, staged, utf8
 
 #: Words of a window; a shorter item is one window as it is.
 WINDOW = 10
-#: Words of a shingle, the token of the prefix filter.
+#: Words of a shingle, the token of the prefix filter; a shorter window is one shingle.
 SHINGLE = 3
-#: Benchmark text that one pass holds in memory. A larger benchmark is read in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Bits of the filter of shingles a key, and at most: 16 MB, whatever the size of the benchmark. A
+#: fuller filter lets more documents' shingles through to the join, which drops them.
+BITS_A_KEY, MOST_BITS = 64, 1 << 27
+#: Windows, candidates or counts in a batch that a task hands on.
+ROWS = 4096
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and all bytes from 0x80, and turns the rest to blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class Windows:
-    """The windows of one block of items, with an index from each window's rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        self.vocab: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                of.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.items = sorted({x for v in of.values() for x in v})
-        number = {x: k for k, x in enumerate(self.items)}
-        self.length = np.array([len(k) for k in of], np.int64)
-        self.words = np.full((len(of), WINDOW), -2, np.int32)
-        for k, w in enumerate(of):
-            self.words[k, : len(w)] = w
-        # The items of window k are item_of[item_at[k]:item_at[k + 1]].
-        self.item_at = np.cumsum([0, *(len(v) for v in of.values())])
-        self.item_of = np.array([number[x] for v in of.values() for x in sorted(v)], np.int64)
-        self.base = len(self.vocab) + 1
-        # For each shingle length in use: its keys, and (key, window, offset) for every shingle of every window.
-        self.shingles: dict[int, np.ndarray] = {}
-        self.places: dict[int, np.ndarray] = {}
-        for q in range(1, SHINGLE + 1):
-            rows = [(self._key(self.words[k, i : i + q][None])[0], k, i) for k in np.flatnonzero(np.minimum(self.length, SHINGLE) == q) for i in range(self.length[k] - q + 1)]
-            if rows:
-                self.places[q] = np.array(rows, np.int64)
-                self.shingles[q] = np.unique(self.places[q][:, 0])
-
-    def _key(self, grams: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(grams), np.int64)
-        for c in range(grams.shape[1]):
-            key = key * self.base + grams[:, c]
-        return key
-
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of a batch (-1: in no item), the texts parted by -1; starts and lengths."""
-        get, flat, sizes = self.vocab.get, [-1] * WINDOW, []
-        for t in texts:
-            w = words(t)
-            flat += [get(x, -1) for x in w]
-            flat += [-1] * WINDOW
-            sizes.append(len(w))
-        sizes = np.array(sizes, np.int64)
-        return np.array(flat, np.int32), WINDOW + np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]]).astype(np.int64)[: len(sizes)], sizes
-
-    def _found(self, ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where shingles of q words occur: positions, and the shingles' numbers."""
-        known = ids >= 0
-        whole = np.flatnonzero(np.logical_and.reduce([known[i : len(ids) - q + 1 + i] for i in range(q)]))
-        key = self._key(np.stack([ids[whole + i] for i in range(q)], 1)) if len(whole) else np.zeros(0, np.int64)
-        table = self.shingles[q]
-        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        ok = table[at] == key
-        return whole[ok], at[ok]
-
-    def count(self, ids: np.ndarray) -> dict[int, np.ndarray]:
-        return {q: np.bincount(self._found(ids, q)[1], minlength=len(t)) for q, t in self.shingles.items()}
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Keep, for each window, its rarest shingle: containment of all needs one prefix token."""
-        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for q, p in self.places.items():
-            number = np.searchsorted(self.shingles[q], p[:, 0])
-            order = np.lexsort((p[:, 2], number, counts[q][number], p[:, 1]))
-            first = order[np.concatenate([[True], np.diff(p[order, 1]) != 0])]
-            first = first[np.argsort(number[first], kind="stable")]
-            start = np.searchsorted(number[first], np.arange(len(self.shingles[q]) + 1))
-            self.prefix[q] = (start, p[first, 1], p[first, 2])
-
-    def match(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of windows: start positions and window numbers."""
-        starts, wins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, (at, window, offset) in self.prefix.items():
-            pos, shingle = self._found(ids, q)
-            n = at[shingle + 1] - at[shingle]
-            pos, shingle, n = pos[n > 0], shingle[n > 0], n[n > 0]
-            for lo in range(0, len(pos), 200_000):
-                k, c = slice(lo, lo + 200_000), n[lo : lo + 200_000]
-                entry = np.repeat(at[shingle[k]] - np.cumsum(c) + c, c) + np.arange(c.sum())
-                w, start = window[entry], np.repeat(pos[k], c) - offset[entry]
-                # Length and position: the window must lie within the batch; separators keep it within one text.
-                fits = (start >= 0) & (start + self.length[w] <= len(ids))
-                w, start = w[fits], start[fits]
-                alike = np.ones(len(w), bool)
-                for i in range(WINDOW):
-                    alike &= (self.words[w, i] == -2) | (ids[np.minimum(start + i, len(ids) - 1)] == self.words[w, i])
-                starts.append(start[alike])
-                wins.append(w[alike])
-        return np.concatenate(starts), np.concatenate(wins)
-
-
-def _batches(texts: list[bytes | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Slices of a batch with at most about ``most`` bytes of text, one text at least."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > lo and size + n > most:
-            yield lo, i
-            lo = i
-            size = 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
-def _counts(docs: DataFrame, win: Windows) -> dict[int, np.ndarray]:
-    """Occurrences of the block's shingles in all documents (bounded by the block, not the corpus)."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {q: np.zeros(len(t), np.int64) for q, t in win.shingles.items()}
+def shingles(ws: Sequence[bytes], q: int) -> np.ndarray:
+    """Hashes of the shingles of ``q`` words, in text order."""
+    n = len(ws) - q + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(zlib.crc32, ws), np.uint64, len(ws))
+    h = np.full(n, q, np.uint64)
+    for i in range(q):
+        h = (h ^ w[i : i + n]) * _STEP
+        h ^= h >> np.uint64(29)
+    h *= _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+@dataclass
+class Filter:
+    """A Bloom filter of shingles, two bits each; it lets all of its keys through and few others."""
+
+    bits: np.ndarray
+    size: int
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Places in ``h`` of what may be a key."""
+        at = np.flatnonzero(self._bit(h & np.uint64(self.size - 1)))
+        return at[self._bit((h[at] >> np.uint64(36)) & np.uint64(self.size - 1))]
+
+    def _bit(self, p: np.ndarray) -> np.ndarray:
+        return (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame, most_bits: int) -> Filter:
+    """The filter of column ``h`` (distinct). Its bitmap is made by the executors, 4 KB a row."""
+    size = 1 << 15
+    wanted = keys.count() * BITS_A_KEY
+    while size < min(wanted, most_bits):
+        size *= 2
+    both = F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 36).bitwiseAND(F.lit(size - 1)))
+    place = keys.select(F.explode(F.transform(both, lambda x: x + 1)).alias("p"))
+    rows = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    bits = np.zeros(size >> 3, np.uint8)
+    for r in rows.toLocalIterator():  # at most MOST_BITS / 32768 rows
+        at = (r["b"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["m"], np.uint8)
+    return Filter(bits, size)
+
+
+def _windows(benchmark: DataFrame) -> DataFrame:
+    """``item``, ``window`` (MD5 of its words), ``n``, ``words`` and ``grams`` (its shingles in order) of all windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in _batches(texts):
-                for q, c in win.count(win.ids(texts[lo:hi])[0]).items():
-                    total[q] += c
-        for q, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(at), pa.array(c[at])], ["q", "k", "n"])
-
-    got = docs.select(utf8().alias("text")).mapInArrow(local, "q long, k long, n long").groupBy("q", "k").agg(F.sum("n").alias("n"))
-    counts = {q: np.zeros(len(t), np.int64) for q, t in win.shingles.items()}
-    for r in got.collect():
-        counts[r["q"]][r["k"]] = r["n"]
-    return counts
-
-
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), utf8().alias("t")).toLocalIterator()
-    for r in rows:
-        if block and size + len(r["t"]) > most:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], bytes(r["t"])))
-        size += len(r["t"])
-    if block:
-        yield block
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ws = words(text.as_py())
+                n = min(WINDOW, len(ws))
+                q = min(SHINGLE, n)
+                grams = shingles(ws, q).view(np.int64) if n else np.zeros(0, np.int64)
+                for lo in range(0, len(ws) - n + 1 if n else 0, ROWS):
+                    at = range(lo, min(lo + ROWS, len(ws) - n + 1))
+                    own = [b" ".join(ws[i : i + n]) for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.string()), pa.array([hashlib.md5(x).digest() for x in own], pa.binary()), pa.array([n] * len(at), pa.int32()), pa.array(own, pa.binary()), pa.array([grams[i : i + n - q + 1] for i in at], pa.list_(pa.int64()))], names=["item", "window", "n", "words", "grams"])
+
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
+    return mapped(benchmark.select(item.alias("item"), utf8().alias("text")), run, "item string, window binary, n int, words binary, grams array<long>")
+
+
+def _occurrences(docs: DataFrame, sizes: list[int], known: Filter) -> DataFrame:
+    """``h`` and ``n``: how often the shingles that pass the filter occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, pick = [], 0, shared.value.has
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        for b in batches:
+            for x in b.column(0):
+                ws = words(x.as_py())
+                for q in sizes:
+                    h = shingles(ws, q)
+                    held.append(h[pick(h)])
+                    size += len(held[-1])
+                if size > 1 << 20:
+                    yield flush()
+                    held, size = [], 0
+        yield flush()
+
+    rows = mapped(docs.select(utf8().alias("text")), run, "h long, n long")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each window its rarest shingle ``h`` and the shingle's ``offset`` in words: containment of all needs this one."""
+    grams = windows.select("window", F.posexplode("grams").alias("offset", "h"))
+    best = grams.join(counts, "h", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("b"))
+    return windows.select("window", "n", "words").join(best.select("window", "b.h", "b.offset"), "window")
+
+
+def _candidates(docs: DataFrame, sizes: list[int], wanted: Filter) -> DataFrame:
+    """Where a window's rarest shingle may lie in a text: ``key`` (MD5 of the text), ``h``, the
+    word ``at`` which, the words around it (``near``) and how many of these are ahead of it.
+
+    A copy of a text that a task has met before is not looked at again.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick, done, out = shared.value.has, set(), []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "h", "at", "ahead", "near"])
+
+        for b in batches:
+            for x in b.column(0):
+                text = x.as_py()
+                key = hashlib.md5(text).digest()
+                if key in done:
+                    continue
+                if len(done) > MOST_SEEN:
+                    done.clear()
+                done.add(key)
+                ws = words(text)
+                for q in sizes:
+                    h = shingles(ws, q)
+                    for i, v in zip((at := pick(h)).tolist(), h[at].view(np.int64).tolist(), strict=True):
+                        lo = max(0, i - WINDOW + 1)
+                        out.append((key, v, i, i - lo, b" ".join(ws[lo : i + WINDOW])))
+                        if len(out) == ROWS:
+                            yield batch()
+                            out = []
+        yield batch()
+
+    return mapped(docs.select(utf8().alias("text")), run, "key binary, h long, at int, ahead int, near binary")
+
+
+def _verified(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``key``, ``first``, ``last`` (words, ``last`` excluded) and ``window`` of all occurrences of windows.
+
+    Candidates meet the windows of their shingle; length and position tell where the window would
+    lie, and its words are compared one by one.
+    """
+    met = candidates.join(prefixes, "h").filter("ahead >= offset").select("key", "window", (F.col("at") - F.col("offset")).alias("first"), "n", (F.col("ahead") - F.col("offset")).alias("skip"), "near", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            skip, n = b.column(4).to_pylist(), b.column(3).to_pylist()
+            ok = [near.as_py().split()[s : s + k] == want.as_py().split() for s, k, near, want in zip(skip, n, b.column(5), b.column(6), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(4)], names=["key", "window", "first", "n"])
+
+    rows = mapped(met, run, "key binary, window binary, first int, n int")
+    return rows.select("key", "window", "first", (F.col("first") + F.col("n")).alias("last")).distinct()
+
+
+def _findings(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """``k`` (MD5 of a text), ``hit`` (words inside occurrences) and ``ids`` (items, sorted).
+
+    Both lists are of one text: spans, of which it has fewer than words, and the ids that the
+    result names anyway.
+    """
+    spans = hits.select("key", "first", "last").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("s"))
+    none = F.struct(F.lit(0).alias("far"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a["far"], x["last"]).alias("far"), (a["n"] + F.greatest(x["last"] - F.greatest(x["first"], a["far"]), F.lit(0))).alias("n"))
+    words_hit = F.aggregate("s", none, step, lambda a: a["n"])
+    # Written down, so that this join is a stage of its own and a very common window can be split.
+    named = staged(hits.select("key", "window").distinct().join(items, "window").select("key", "item"), "leak-items")
+    ids = named.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    return spans.select("key", words_hit.alias("hit")).join(ids, "key").select(F.col("key").alias("k"), "hit", "ids")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """Words of each document that lie inside a window of any benchmark item.
 
-    The benchmark is a stated query set, read in blocks of ``block_bytes``. For each block one
-    pass counts its shingles over all documents and another finds, by each window's rarest
-    shingle, where the window could lie, and compares it word by word. Both passes are maps; the
-    documents are not shuffled.
+    The windows' shingles are counted over all documents in one pass; a second one sends each
+    place where a window's rarest shingle occurs, with the words around it, to a join with the
+    windows, which compares them word by word. A filter of bounded size keeps all other places at
+    home. The documents come last, with a join to what was found in texts of their MD5; that
+    table has a row per contaminated text, and the planner broadcasts it where it is small.
 
     Returns ``row`` (the input row), ``n_words``, ``n_hit``, ``items`` (ids as strings, sorted),
     ``n_items``, ``items_sha256`` and ``contaminated``, one row for each input row.
 
     Defined cases: a null or empty text has no words and no hits; an item without words has no
     window; a null item id counts as ``null``; items that share an id count once; an empty
-    benchmark leaves all documents clean; repeated documents are judged alike; a very long text
-    is a batch of its own.
+    benchmark leaves all documents clean, an empty table of documents gives an empty result;
+    repeated documents are judged alike; very long texts are read whole; other columns of the
+    documents, whatever their names, are carried in ``row``.
     """
-    cur = packed(docs, text=utf8(), n_words=F.lit(0).cast("long"), spans=F.lit(b""), found=F.lit(b""))
-    schema = cur.schema
-    slim = docs.select("text")
-
-    def step(win: Windows | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi in _batches(all_texts := b.column(1).to_pylist()):
-                    part, texts = b.slice(lo, hi - lo), all_texts[lo:hi]
-                    spans, found = part.column(3).to_pylist(), part.column(4).to_pylist()
-                    if win is None:
-                        sizes = [len(words(t)) for t in texts]
-                    else:
-                        ids, first, sizes = win.ids(texts)
-                        start, w = win.match(ids)
-                        doc = np.searchsorted(first, start, side="right") - 1
-                        order = np.lexsort((start, doc))
-                        start, w, doc = start[order], w[order], doc[order]
-                        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-                        for d in np.unique(doc):
-                            s, x = start[edge[d] : edge[d + 1]] - first[d], w[edge[d] : edge[d + 1]]
-                            spans[d] += np.stack([s, s + win.length[x]], 1).astype("<i8").tobytes()
-                            x = np.unique(x)
-                            own = np.unique(np.concatenate([win.item_of[win.item_at[k] : win.item_at[k + 1]] for k in x]))
-                            found[d] += "".join(f"{win.items[k]}\0" for k in own).encode()
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(found, pa.binary())], schema=pa.schema([b.schema.field(0), b.schema.field(1), pa.field("n_words", pa.int64()), pa.field("spans", pa.binary()), pa.field("found", pa.binary())]))
-
-        return run
-
-    steps = 0
-    for block in _blocks(benchmark, block_bytes):
-        win = Windows(block)
-        if win.shingles:
-            win.choose(_counts(slim, win))
-            cur = cur.mapInArrow(step(win), schema)
-            steps += 1
-    if not steps:
-        cur = cur.mapInArrow(step(None), schema)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits, items = [], []
-            for s, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p = np.frombuffer(s, "<i8").reshape(-1, 2)
-                p = p[np.argsort(p[:, 0], kind="stable")]
-                far = np.maximum.accumulate(p[:, 1]) if len(p) else p[:, 1]
-                begin = np.maximum(p[:, 0], np.concatenate([[0], far[:-1]])) if len(p) else p[:, 0]
-                hits.append(int(np.maximum(p[:, 1] - begin, 0).sum()))
-                items.append(sorted(set(f.decode().split("\0")[:-1])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits])], names=["row", "n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated"])
-
-    out = T.StructType([cur.schema["row"], *T.StructType.fromDDL("n_words long, n_hit long, items array<string>, n_items long, items_sha256 string, contaminated boolean")])
-    return cur.select("row", "n_words", "spans", "found").mapInArrow(sums, out)
+    windows = staged(_windows(benchmark), "leak-windows")
+    items = windows.select("window", "item").distinct()
+    sizes = sorted(r["q"] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("q")).distinct().collect())  # 1, 2 or 3
+    p = packed(docs, key=F.unhex(F.md5(utf8())), n_words=F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
+    if sizes:
+        windows = staged(windows.groupBy("window").agg(*[F.first(c).alias(c) for c in ("n", "words", "grams")]), "leak-distinct")
+        known = _filter(windows.select(F.explode("grams").alias("h")).distinct(), most_bits)
+        prefixes = staged(_prefixes(windows, _occurrences(docs, sizes, known)), "leak-prefixes")
+        wanted = _filter(prefixes.select("h").distinct(), most_bits)
+        hits = staged(_verified(_candidates(docs, sizes, wanted), prefixes), "leak-hits")
+        found = staged(_findings(hits, items), "leak-found")
+        p = p.join(found, p["key"] == found["k"], "left")
+    else:
+        p = p.withColumns({"hit": F.lit(0).cast("long"), "ids": F.array().cast("array<string>")})
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    hit = F.coalesce("hit", F.lit(0).cast("long"))
+    return p.select("row", "n_words", hit.alias("n_hit"), ids.alias("items"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 SQL = r"""
