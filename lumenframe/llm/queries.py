@@ -46,8 +46,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = suffix_dedup.remove_repeats(docs)
-    return ids.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffix_dedup.remove_repeats(docs, kept_as=None)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,19 +74,15 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each document, with the evidence of the page that shows it, where there is one.
+    """Language of each document, with the evidence of all pages that show it.
 
     The text model is fitted on a bounded sample of documents' ``lang``; apart from that the
     declared language is the page's markup. A document without a page has its source as host.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = langid.train(docs)
-    seen = langid.page_evidence(table(spark, sf_dir, "pages"))
-    seen = seen.select(F.col("doc_id").alias("d"), "declared", "host", "suffix")
-    base = langid.text_scores(docs.select("doc_id", "source", "text"), model)
-    joined = base.join(seen, base["row.doc_id"] == seen["d"], "left")
-    host = F.coalesce(F.col("host"), F.concat(F.lit("source:"), F.col("row.source")))
-    out = langid.fuse(joined, model, declared=F.col("declared"), host=host, suffix=F.col("suffix"))
+    scored = langid.text_scores(docs.select("doc_id", "source", "text"), model)
+    out = langid.identify_by_pages(scored, model, langid.page_evidence(table(spark, sf_dir, "pages")))
     return out.select("row.doc_id", "predicted", "best", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
