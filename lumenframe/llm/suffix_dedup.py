@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, staged, utf8
+from .common import MOST_SEEN, mapped, packed, staged, utf8
 
 WINDOW, ANCHOR = 200, 32
 #: Text hashed at a time; a longer text is taken in pieces that overlap by a window.
@@ -121,7 +121,7 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                 own = [keys[number[d]] for d in doc.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array((a + shift[doc]).astype(np.int32)), pa.array((z + shift[doc]).astype(np.int32))], names=["key", "anchor", "content", "first", "last"])
 
-    return docs.select(utf8().alias("text")).mapInArrow(run, RUN)
+    return mapped(docs.select(utf8().alias("text")), run, RUN)
 
 
 def repeated_starts(buf: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -249,17 +249,21 @@ def _texts(docs: DataFrame) -> DataFrame:
                     done.add(k)
                     keys.append(k)
                     out.append(pack(t))
-            if len(done) > 1_000_000:
+            if len(done) > MOST_SEEN:
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "packed"])
 
-    return docs.select(utf8().alias("text")).mapInArrow(run, "key binary, packed binary")
+    return mapped(docs.select(utf8().alias("text")), run, "key binary, packed binary")
 
 
 def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """Adds ``before`` (int) and ``body`` (binary) to runs, from the texts they lie in."""
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "group", "first", "last")).alias("runs"))  # runs of one text
-    rows = _texts(docs).join(by_text, "key").dropDuplicates(["key"])
+    """Adds ``body`` (binary) to runs, from the texts they lie in.
+
+    The runs of one text come to one row; they take less room than the text itself, a row of the input.
+    """
+    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "content", "copies", "group", "first", "last")).alias("runs"))
+    # One copy of a text goes on, however many tasks have met it, and the join needs no further exchange.
+    rows = _texts(docs).dropDuplicates(["key"]).join(by_text, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -276,7 +280,7 @@ def _cut_out(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                     names=["key", "anchor", "content", "copies", "group", "first", "body"],
                 )
 
-    return rows.select("key", "packed", "runs").mapInArrow(run, "key binary, anchor long, content long, copies long, group long, first int, body binary")
+    return mapped(rows.select("key", "packed", "runs"), run, "key binary, anchor long, content long, copies long, group long, first int, body binary")
 
 
 def _sorted_groups(bodies: DataFrame, window: int) -> DataFrame:
@@ -309,7 +313,7 @@ def _sorted_groups(bodies: DataFrame, window: int) -> DataFrame:
             yield flush()
 
     spread = bodies.select("key", "anchor", "copies", "first", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return spread.mapInArrow(run, "key binary, lo int, hi int")
+    return mapped(spread, run, "key binary, lo int, hi int")
 
 
 def _hashed_groups(bodies: DataFrame, window: int) -> DataFrame:
@@ -322,7 +326,7 @@ def _hashed_groups(bodies: DataFrame, window: int) -> DataFrame:
                 n = len(body) - window + 1
                 yield pa.RecordBatch.from_arrays([pa.array([key if copies == 1 else None] * n, pa.binary()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array([of(body[i : i + window]) for i in range(n)], pa.binary())], names=["key", "lo", "window"])
 
-    windows = bodies.select("key", "copies", "first", "body").mapInArrow(run, "key binary, lo int, window binary")
+    windows = mapped(bodies.select("key", "copies", "first", "body"), run, "key binary, lo int, window binary")
     windows = staged(windows, "rep-windows")
     shared = staged(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"), "rep-shared")
     got = windows.filter("key is not null").join(shared, "window")
@@ -344,31 +348,37 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kinds = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "last")).alias("one"))
     kinds = staged(kinds, "rep-kinds")
     alike = kinds.filter("copies > 1").select("anchor", "content")
-    whole = whole.select("key", "first", "last").unionByName(mixed.join(alike, ["anchor", "content"]).select("key", "first", "last"))
+    # Written down, so that this join is a stage of its own and the copies of a very common run can be split.
+    copied = staged(mixed.join(alike, ["anchor", "content"]).select("key", "first", "last"), "rep-copied")
+    whole = whole.select("key", "first", "last").unionByName(copied)
     groups = staged(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("group")), "rep-groups")
     wanted = kinds.join(groups, "anchor").select("anchor", "content", "copies", "group", "one.*")
     bodies = staged(_cut_out(wanted, docs, window), "rep-bodies")
     parts = whole.select("key", F.col("first").alias("lo"), (F.col("last") + window).cast("int").alias("hi"))
     parts = parts.unionByName(_sorted_groups(bodies.filter(F.col("group") <= MOST_SORTED), window)).unionByName(_hashed_groups(bodies.filter(F.col("group") > MOST_SORTED), window))
-    return parts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # ranges of one text
+    return parts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # ranges of one text, at most one a byte
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, kept_as: str | None = "binary") -> DataFrame:
     """Remove each byte covered by a string of ``window`` bytes that also starts anywhere else.
 
-    Returns ``row``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept``
-    (binary, the remaining bytes) and ``kept_sha256``, one row for each input row. Strings are
+    Returns ``row``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (the
+    remaining bytes as ``binary``, or as ``string`` without what a cut has left of a character;
+    left out for None) and ``kept_sha256`` (of the bytes), one row for each input row. Strings are
     judged on the input, and all occurrences go.
 
     Defined cases: null is the empty text; a text shorter than the window stays, even if it is a
     copy; a longer text that occurs twice goes whole; repeats may overlap within one text;
     nothing else than the text is looked at, so null or repeated ids do no harm; long texts are
-    read whole, in pieces; an empty table gives an empty result.
+    read whole, in pieces; an empty table gives an empty result; other columns, whatever their
+    names, are carried in ``row``.
     """
     spans = repeated_spans(docs, window)
     p = packed(docs, text=utf8())
     p = p.withColumn("key", F.unhex(F.md5("text")))
-    out = T.StructType([p.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")])
+    out = T.StructType([p.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long" + (f", kept {kept_as}" if kept_as else "") + ", kept_sha256 string")])
+    forms = {"binary": lambda k: pa.array(k, pa.binary()), "string": lambda k: pa.array([whole_characters(x) for x in k], pa.string())}
+    form = [forms[kept_as]] if kept_as else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,13 +391,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 gone.append(int((ranges[:, 1] - ranges[:, 0]).sum()))
                 count.append(len(ranges))
                 kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=out.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, count)), *(f(kept) for f in form), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=out.fieldNames())
 
     spans = spans.withColumnRenamed("key", "k")
-    return p.join(spans, p["key"] == spans["k"], "left").select("row", "text", "spans").mapInArrow(run, out)
+    return mapped(p.join(spans, p["key"] == spans["k"], "left").select("row", "text", "spans"), run, out)
 
 
-def whole_characters(kept: Column) -> Column:
+def whole_characters(kept: bytes) -> str:
     """The kept bytes as text, without what a cut has left of a character."""
-    decoded = F.udf(lambda part: bytes(part).decode("utf-8", "ignore"), "string")
-    return F.when(F.is_valid_utf8(kept), kept.cast("string")).otherwise(decoded(kept))
+    return kept.decode("utf-8", "ignore")
