@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, utf8
+from .common import mapped, packed, sample, utf8
 
-#: Rows that a model is fitted on at most; of the labelled rows those with the least hash of the id.
-TRAIN_ROWS = 8000
+#: Rows and bytes of text that a model is fitted on at most; of the labelled rows those with the least hash of the id.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 64 << 20
 BUCKETS, DIM, EPOCHS, BATCH = 1 << 17, 12, 8, 64
 SHORTEST, LONGEST = 3, 5
 #: Bytes of a long word that are taken at a time; longer words are not kept for a second use.
@@ -149,7 +149,7 @@ class Scorer:
         if len(word) >= PIECE:
             sums = [(self.buckets[p].sum(dtype=np.float64), len(p)) for p in subwords(word)]
             return float(sum(x for x, _ in sums) / sum(n for _, n in sums))
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         s = self.known[word] = float(self.buckets[np.concatenate(list(subwords(word)))].mean())
         return s
@@ -170,19 +170,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that are not held out.
+    """Fit on at most ``rows`` labelled documents, ``TRAIN_BYTES`` of text, that are not held out.
 
     They are those with the least hash of the id, so any size of corpus gives a like sample, and
-    only these ids and texts come to the driver. Null labels and null ids are not learned from;
-    of repeated labels of one id the greatest counts.
+    only these texts come to the driver. Null labels and null ids are not learned from; of
+    repeated labels of one id the greatest counts; repeated rows count once; of an empty table,
+    or of labels of one kind, the model is the base rate alone.
     """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The chosen labels are at most `rows` rows, so the documents meet them in a broadcast.
-    chosen = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    got = chosen.select("text", "toxic").toLocalIterator()
+    chosen = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(marks), "doc_id")
     texts, y = [], []
-    for r in got:
+    for r in sample(chosen, "doc_id", rows, TRAIN_BYTES):
         texts.append(bytes(r["text"]))
         y.append(int(r["toxic"] > 0))
     return fit(texts, np.array(y, np.int64))
@@ -192,7 +192,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` and ``score`` (0 to 1) of each whole text, by the text alone.
 
     A null or empty text, or one without words, gets the score of the model's bias. Equal texts
-    get equal scores; long texts are read word by word.
+    get equal scores, so repeated rows do; long texts are read word by word; an empty table gives
+    an empty result. Other columns, whatever their names, are carried in ``row`` and not looked at.
     """
     p = packed(docs, text=utf8())
     out = T.StructType([p.schema["row"], T.StructField("score", T.DoubleType())])
@@ -203,4 +204,4 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(x.as_py()) for x in b.column(1)], pa.float64())], names=["row", "score"])
 
-    return p.mapInArrow(run, out)
+    return mapped(p, run, out)
