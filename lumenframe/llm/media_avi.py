@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import packed, utf8
+from .common import mapped, packed, utf8
 
 UNIT = 192
 #: Units in a frame: four blocks side by side, 32 x 8 pixels.
@@ -52,11 +52,14 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, marker, len(body) + 2) + body
 
 
+#: A table of one code, 0, for no zero run and category 8: codes of each length, and the symbol.
+_ONE_CODE = (bytes([1] + [0] * 15), b"\x08")
+
+
 def _head() -> bytes:
-    one_code = bytes([1] + [0] * 15) + b"\x08"
     frame = struct.pack(">BHHB", 8, 8, 8 * ACROSS, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3))
     scan = b"\x03" + b"".join(bytes([c, 0]) for c in (1, 2, 3)) + bytes([0, 63, 0])
-    return b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, frame) + _segment(0xC4, b"\x00" + one_code + b"\x10" + one_code) + _segment(0xDD, b"\0\1") + _segment(0xDA, scan)
+    return b"\xff\xd8" + _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC0, frame) + _segment(0xC4, b"\x00" + b"".join(_ONE_CODE) + b"\x10" + b"".join(_ONE_CODE)) + _segment(0xDD, b"\0\1") + _segment(0xDA, scan)
 
 
 _HEAD = _head()
@@ -116,64 +119,147 @@ def _chunks(data: bytes, lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def parse_avi(data: bytes) -> dict:
-    """Frame period, size, comment and frames (bytes) of an AVI file, the frames by its index.
+    """Frame period, size, comment and frames (bytes) of an AVI file.
 
-    Without an index, or where an entry does not point at a chunk, the ``movi`` list is walked.
+    Files of several RIFF segments (OpenDML) are read whole. The frames come by the stream's super
+    index and its chunks where it has one; else segment by segment, the first by its ``idx1`` and
+    all others, or one whose index does not point at chunks, by walking ``movi`` and the ``rec ``
+    lists in it.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     out: dict = {"period": 0.0, "width": 0, "height": 0, "comment": b"", "frames": []}
-    movi, index = None, None
-    todo = [(12, len(data))]
-    while todo:
-        for tag, lo, hi in _chunks(data, *todo.pop()):
-            kind = data[lo : lo + 4] if tag == b"LIST" else b""
-            if kind == b"movi":
-                movi = (lo, hi)
-            elif kind in (b"hdrl", b"INFO"):
-                todo.append((lo + 4, hi))
-            elif tag == b"avih":
-                out["period"] = struct.unpack_from("<I", data, lo)[0] / 1e6
-                out["width"], out["height"] = struct.unpack_from("<II", data, lo + 32)
-            elif tag == b"ICMT":
-                out["comment"] = data[lo:hi]
-            elif tag == b"idx1":
-                index = (lo, hi)
-    if movi is None:
-        return out
-    if index:
-        for lo in range(index[0], index[1] - 15, 16):
-            tag, _, at, n = struct.unpack_from("<4sIII", data, lo)
-            if tag[2:] not in (b"dc", b"db"):
-                continue
-            at = next((x for x in (movi[0] + at, at) if data[x : x + 4] == tag), None)
-            if at is None:
-                out["frames"] = []
-                break
-            out["frames"].append(data[at + 8 : at + 8 + n])
-    if not out["frames"]:
-        out["frames"] = [data[lo:hi] for tag, lo, hi in _chunks(data, movi[0] + 4, movi[1]) if tag[2:] in (b"dc", b"db")]
+    segments: list[list] = []
+    index, chunks = None, []
+    for tag, lo, hi in _chunks(data, 0, len(data)):
+        if tag != b"RIFF" or data[lo : lo + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        todo = [(lo + 4, hi)]
+        while todo:
+            for tag, lo, hi in _chunks(data, *todo.pop()):
+                kind = data[lo : lo + 4] if tag == b"LIST" else b""
+                if kind == b"movi":
+                    segments.append([lo, hi])
+                elif kind in (b"hdrl", b"INFO", b"strl"):
+                    todo.append((lo + 4, hi))
+                elif tag == b"avih":
+                    out["period"] = struct.unpack_from("<I", data, lo)[0] / 1e6
+                    out["width"], out["height"] = struct.unpack_from("<II", data, lo + 32)
+                elif tag == b"ICMT":
+                    out["comment"] = data[lo:hi]
+                elif tag == b"idx1" and len(segments) == 1:
+                    index = (lo, hi)
+                elif tag == b"indx" and data[lo + 3 : lo + 4] == b"\0" and data[lo + 10 : lo + 12] in (b"dc", b"db"):
+                    n = struct.unpack_from("<I", data, lo + 4)[0]
+                    chunks = [struct.unpack_from("<Q", data, lo + 24 + 16 * i)[0] for i in range(n)]
+    frames = _by_chunks(data, chunks)
+    if frames is None:
+        first = _by_index(data, index, segments[0][0]) if index else None
+        frames = first or []
+        for lo, hi in segments[bool(first) :]:
+            frames += _walked(data, lo + 4, hi)
+    out["frames"] = frames
     return out
 
 
+def _by_chunks(data: bytes, chunks: list[int]) -> list[bytes] | None:
+    """Frames by OpenDML index chunks; None without any, or if one is not where it should be."""
+    frames = []
+    for at in chunks:
+        if at + 32 > len(data) or data[at + 11 : at + 12] != b"\1":
+            return None
+        n, tag, base = struct.unpack_from("<I4sQ", data, at + 12)
+        if tag[2:] not in (b"dc", b"db") or at + 32 + 8 * n > len(data):
+            return None
+        for i in range(n):
+            offset, size = struct.unpack_from("<II", data, at + 32 + 8 * i)
+            frames.append(data[base + offset : base + offset + (size & 0x7FFFFFFF)])
+    return frames or None
+
+
+def _by_index(data: bytes, index: tuple[int, int], movi: int) -> list[bytes] | None:
+    """Frames by ``idx1``, whose places count from ``movi`` or from the file's start; None if one is wrong."""
+    frames = []
+    for lo in range(index[0], index[1] - 15, 16):
+        tag, _, at, n = struct.unpack_from("<4sIII", data, lo)
+        if tag[2:] not in (b"dc", b"db"):
+            continue
+        at = next((x for x in (movi + at, at) if data[x : x + 4] == tag), None)
+        if at is None:
+            return None
+        frames.append(data[at + 8 : at + 8 + n])
+    return frames
+
+
+def _walked(data: bytes, lo: int, hi: int) -> list[bytes]:
+    frames = []
+    for tag, a, z in _chunks(data, lo, hi):
+        if tag == b"LIST" and data[a : a + 4] == b"rec ":
+            frames += _walked(data, a + 4, z)
+        elif tag[2:] in (b"dc", b"db"):
+            frames.append(data[a:z])
+    return frames
+
+
 class _Bits:
+    """Bits of a scan, eight bytes looked at at a time."""
+
     def __init__(self, data: bytes) -> None:
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.end = data + b"\0" * 8, 0, 8 * len(data)
+
+    def peek(self) -> int:
+        """The next 16 bits, zeros after the end."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 3], "big") >> (8 - (self.at & 7)) & 0xFFFF
 
     def take(self, n: int) -> int:
-        if n > self.left:
+        if self.at + n > self.end:
             raise ValueError("a scan ends early")
-        self.left -= n
-        return (self.value >> self.left) & ((1 << n) - 1)
+        word = int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 4], "big")
+        word = word >> (32 - (self.at & 7) - n) & ((1 << n) - 1)
+        self.at += n
+        return word
+
+
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    """Length of the code and symbol (length * 256 + symbol) by the next 16 bits; 0 where no code fits."""
+    out, code, k = np.zeros(1 << 16, np.int64), 0, 0
+    for length, c in enumerate(counts, 1):
+        for _ in range(c):
+            out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def _huffman(bits: _Bits, table: np.ndarray) -> int:
+    found = int(table[bits.peek()])
+    if not found:
+        raise ValueError("a code that no table has")
+    bits.take(found >> 8)
+    return found & 255
+
+
+# Fixed values of the JPEG format (ITU T.81, K.3 to K.6): codes of each length and the symbols of
+# the usual tables, which motion-JPEG frames may leave out. After the symbols stated come all
+# others of a run of 0 to 15 zeros and a size of 1 to 10, in order.
+_USUAL = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: ("00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d", "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ("00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77", "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def _usual_tables() -> dict[int, tuple[bytes, bytes]]:
+    out = {}
+    for key, (counts, first) in _USUAL.items():
+        head = bytes.fromhex(first)
+        every = bytes(run << 4 | size for run in range(16) for size in range(1, 11)) if key & 16 else b""
+        out[key] = (bytes.fromhex(counts), head + bytes(x for x in every if x not in head))
+    return out
 
 
-def _huffman(bits: _Bits, table: dict[tuple[int, int], int]) -> int:
-    code = 0
-    for n in range(1, 17):
-        code = code << 1 | bits.take(1)
-        if (n, code) in table:
-            return table[n, code]
-    raise ValueError("a code that no table has")
+_USUAL_TABLES = _usual_tables()
 
 
 def decode_frame(data: bytes) -> dict:
@@ -181,12 +267,13 @@ def decode_frame(data: bytes) -> dict:
 
     Returns ``blocks`` (component -> blocks in scan order x 64, zigzag), ``quant`` (component ->
     64 steps), ``size`` (width, height) and ``raw``: the appended bits of all coefficients, if
-    the frame is of the one-code kind that ``encode_avi`` writes, else None. Progressive frames
-    are refused.
+    the frame is of the one-code kind that ``encode_avi`` writes, else None. A frame without Huffman
+    tables has the usual ones. Progressive frames are refused.
     """
     quant: dict[int, np.ndarray] = {}
-    codes: dict[int, dict[tuple[int, int], int]] = {}
+    codes = dict(_USUAL_TABLES)
     parts: list[tuple[int, int, int, int]] = []
+    tables: dict[int, int] = {}
     restart, at, size = 0, 2, (0, 0)
     while at + 4 <= len(data):
         if data[at] != 255:
@@ -201,15 +288,12 @@ def decode_frame(data: bytes) -> dict:
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, code, k, table = body[1:17], 0, 17, {}
-                for length, c in enumerate(counts, 1):
-                    for _ in range(c):
-                        table[length, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                codes[body[0]] = table
-                body = body[k:]
+                n = 17 + sum(body[1:17])
+                codes[body[0]] = (body[1:17], body[17:n])
+                body = body[n:]
         elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("only samples of 8 bits are decoded")
             size = struct.unpack_from(">HH", body, 1)[::-1]
             parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
@@ -219,11 +303,12 @@ def decode_frame(data: bytes) -> dict:
         elif marker == 0xDA:
             tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             break
+    if not tables or not parts:
+        raise ValueError("a frame without a scan")
     end = data.rfind(b"\xff\xd9")
     scan = re.split(rb"\xff[\xd0-\xd7]", data[at : end if end >= at else len(data)])
-    used = {codes[k + c].get((1, 0)) for t in tables.values() for k, c in ((0, t >> 4), (16, t & 15)) if len(codes[k + c]) == 1}
-    single = used == {8} and all(len(t) == 1 for t in codes.values()) and restart == 1 and all(p[1:3] == (1, 1) for p in parts)
-    if single:
+    used = {codes[k] for t in tables.values() for k in (t >> 4, 16 + (t & 15))}
+    if used == {_ONE_CODE} and restart == 1 and all(p[1:3] == (1, 1) for p in parts):
         raw = _unpack(b"".join(s.replace(b"\xff\0", b"\xff") for s in scan))
         if raw is not None:
             values = raw.astype(np.float32)
@@ -232,6 +317,7 @@ def decode_frame(data: bytes) -> dict:
             return {"blocks": blocks, "quant": {p[0]: quant[p[3]] for p in parts}, "size": size, "raw": raw}
     wide, tall = 8 * max(p[1] for p in parts), 8 * max(p[2] for p in parts)
     units = -(-size[0] // wide) * -(-size[1] // tall)
+    looked = {k: _lookup(*codes[k]) for t in tables.values() for k in (t >> 4, 16 + (t & 15))}
     got: dict[int, list[list[int]]] = {p[0]: [] for p in parts}
     done = 0
     for piece in scan:
@@ -240,12 +326,12 @@ def decode_frame(data: bytes) -> dict:
             for c, h, v, _q in parts:
                 for _ in range(h * v):
                     block = [0] * 64
-                    s = _huffman(bits, codes[tables[c] >> 4])
+                    s = _huffman(bits, looked[tables[c] >> 4])
                     x = bits.take(s)
                     last[c] += x if not s or x >> (s - 1) else x - (1 << s) + 1
                     block[0], k = last[c], 1
                     while k < 64:
-                        rs = _huffman(bits, codes[16 + (tables[c] & 15)])
+                        rs = _huffman(bits, looked[16 + (tables[c] & 15)])
                         s, k = rs & 15, k + (rs >> 4)
                         if not s:
                             if rs != 0xF0:
@@ -327,7 +413,9 @@ def _clips(media: dict) -> list[dict]:
 def clips(files: DataFrame, content: str = "content") -> DataFrame:
     """Clip rows of AVI files (binary column ``content``): ``row`` (the input row) and ``clip``, a row per shot.
 
-    A null, damaged or non-AVI value gives one row with null clip fields and ``error`` set.
+    A null, damaged or non-AVI value gives one row with null clip fields and ``error`` set; so
+    does a file without frames, with ``error`` null. Repeated rows give their clips each; an empty
+    table gives an empty result; other columns, whatever their names, are carried in ``row``.
     """
     p = packed(files, content=F.col(content))
     out = T.StructType([p.schema["row"], *T.StructType.fromDDL(f"clips {CLIPS}, error string")])
@@ -345,7 +433,7 @@ def clips(files: DataFrame, content: str = "content") -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, of), pa.array(errors, pa.string())], names=["row", "clips", "error"])
 
-    return p.mapInArrow(run, out).select("row", F.explode_outer("clips").alias("clip"), "error")
+    return mapped(p, run, out).select("row", F.explode_outer("clips").alias("clip"), "error")
 
 
 def digest(text: bytes) -> tuple:
@@ -367,7 +455,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """Each whole text as an AVI file, read back: ``row`` and the digest columns.
 
     Defined cases: a null or empty text is stored as 192 blanks; equal texts give equal values;
-    a very long text gives a long file, made in memory of a few times its size.
+    a very long text gives a long file, made in memory of a few times its size; repeated rows each
+    give a row, an empty table none; other columns, whatever their names, are carried in ``row``.
     """
     p = packed(docs, text=utf8())
     out = T.StructType([p.schema["row"], *T.StructType.fromDDL(DIGEST)])
@@ -380,4 +469,4 @@ def store_texts(docs: DataFrame) -> DataFrame:
             cols = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *names])
 
-    return p.mapInArrow(run, out)
+    return mapped(p, run, out)
