@@ -33,7 +33,8 @@ def targets(stats: DataFrame) -> DataFrame:
     target stops at three times its source's size and the excess is shared again. The fixed
     point is a water level: with sources ordered by cap per weight, a source is capped while its
     cap is below the level that the sources from it onward would get. The windows run over the
-    aggregate, one row a source, not over documents.
+    aggregate, one row a source, not over documents; sources are kinds of text that someone
+    weighs, so the table is small.
     """
     every = Window.partitionBy()
     by_name = every.orderBy(F.col("source").asc_nulls_last())
@@ -68,8 +69,9 @@ def mix(docs: DataFrame, seed: str = "mix-1", keep_rows: bool = True) -> DataFra
 
     Defined cases: a null text has size 0; a null source is a source of its own; null ids sort
     first; documents of size 0 may be drawn but take no words; a source without words has target
-    0 and no copies; equal rows are numbered in any order, which cannot be told apart; an empty
-    table gives an empty result.
+    0 and no copies; very long texts are counted whole; equal rows are numbered in any order, which
+    cannot be told apart; an empty table gives an empty result; other columns, whatever their
+    names, are carried in ``row``.
     """
     sized = packed(
         docs,

@@ -59,8 +59,9 @@ def deltas(changes: DataFrame, versions: dict[str, Callable[[Column], Column]] =
     revision, ``old_source``, ``old_lang`` and ``old_text``. An insert counts +1, a delete -1, a
     revision -1 for the old form and +1 for the new. All versions are counted in one pass over
     the rows; the sums are combined before the shuffle, so a hot source sends a row per task.
-    A null text has no tokens; null sources and languages are groups of their own; an unknown
-    ``op`` fails the batch.
+    A null or empty text has no tokens; null sources and languages are groups of their own; an
+    unknown or null ``op`` fails the batch; repeated rows each count; very long texts are counted
+    whole; an empty batch adds nothing; other columns, whatever their names, are not looked at.
     """
     if "old_text" not in changes.columns:
         changes = changes.withColumns({c: F.lit(None).cast("string") for c in ("old_source", "old_lang", "old_text")})
@@ -78,11 +79,12 @@ def deltas(changes: DataFrame, versions: dict[str, Callable[[Column], Column]] =
 class Rollup:
     """Totals by source, language and tokenizer version at a shared path.
 
-    Each batch is one folder ``batches/batch=<id>``, written aside and renamed into place, which
-    the store does at once or not at all; a batch id that is there is not applied again. Totals
-    are the sum over batches. ``compact`` folds the batches so far into a new base, named by the
-    ids that it holds, so a reader never counts a batch twice and a crash leaves either the old
-    or the new base.
+    Each batch is one folder ``batch/batch=<id>``, written aside and renamed into place; a batch
+    id that is there is not applied again. The store must rename a folder at once or not at all,
+    as HDFS and local disks do; on an object store that copies instead, keep the rollup elsewhere.
+    Totals are the sum over batches. ``compact`` folds the batches so far into a new base, which
+    lists the ids that it holds, so a reader never counts a batch twice and a crash leaves either
+    the old or the new base. That list stays with the executors: it is asked for single ids.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -108,26 +110,29 @@ class Rollup:
         self._fs.delete(self._path(aside), True)
         return done
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        bases = self._names("base")
-        if not bases:
-            return None, set()
-        name = bases[-1]
-        held = self.spark.read.parquet(f"{self.path}/base/base={name}/held").collect()
-        return name, {r["batch"] for r in held}
+    def _base(self) -> str | None:
+        return max(self._names("base"), default=None)
+
+    def _held(self, base: str | None, names: list[str]) -> set[str]:
+        """Which of ``names`` the base holds."""
+        if not base or not names:
+            return set()
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/base/base={base}/held")
+        return {r["batch"] for r in held.filter(F.col("batch").isin(names)).distinct().collect()}
 
     def commit(self, batch_id: str, changes: DataFrame, versions: dict[str, Callable[[Column], Column]] = VERSIONS) -> bool:
         """Apply a batch once; False if its id was applied before."""
         if not batch_id or any(c in batch_id for c in "/=") or batch_id.startswith((".", "_")):
             raise ValueError("a batch id must be a plain file name")
-        if batch_id in self._names("batch") or batch_id in self._base()[1]:
+        if batch_id in self._names("batch") or self._held(self._base(), [batch_id]):
             return False
         return self._publish(deltas(changes, versions), "batch", batch_id)
 
     def totals(self) -> DataFrame:
         """Current totals; groups whose documents are all gone are left out."""
-        base, held = self._base()
-        paths = [f"{self.path}/batch/batch={b}" for b in self._names("batch") if b not in held]
+        base, names = self._base(), self._names("batch")
+        held = self._held(base, names)
+        paths = [f"{self.path}/batch/batch={b}" for b in names if b not in held]
         if base:
             paths.append(f"{self.path}/base/base={base}/totals")
         if not paths:
@@ -138,11 +143,14 @@ class Rollup:
 
     def compact(self) -> None:
         """Fold all batches into one base, then remove what it holds."""
-        batches, (base, held) = self._names("batch"), self._base()
-        fresh = [b for b in batches if b not in held]
+        batches, base = self._names("batch"), self._base()
+        held = self._held(base, batches)
         aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(held | set(fresh))], "batch string").write.parquet(f"{aside}/held")
+        ids = self.spark.createDataFrame([(b,) for b in batches if b not in held], "batch string")
+        if base:
+            ids = ids.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/base/base={base}/held"))
+        ids.coalesce(1).write.parquet(f"{aside}/held")
         self._fs.mkdirs(self._path(f"{self.path}/base"))
         number = int(base) + 1 if base else 1
         if not self._fs.rename(self._path(aside), self._path(f"{self.path}/base/base={number:012d}")):

@@ -114,8 +114,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = STATED, **limits
     ``confidence`` (of the mined rule, where one fits).
 
     Defined cases: a null url or one without ``://`` has empty host and path, no rule and the
-    verdict allow; repeated urls get equal verdicts; ties of length go to the greater rule
-    string; empty tables give empty results.
+    verdict allow; very long urls are read whole; repeated urls get equal verdicts; ties of length
+    go to the greater rule string; empty tables give empty results; other columns, whatever their
+    names, are carried in ``row``.
     """
     mined = mined_verdicts(pages, mine(labelled, **limits))
     p = packed(pages, url=F.col("url"), host=host_of(F.col("url")), path=path_of(F.col("url")))

@@ -30,36 +30,74 @@ def _headers(block: bytes) -> list[dict[str, str]]:
     return out
 
 
-def _members(data: bytes) -> bytes:
-    """The bytes of a file that is plain or made of gzip members."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        if not d.eof:
-            break
-        data = d.unused_data
-    return b"".join(out) if out else data
+def _plain(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file that is plain or made of gzip members, piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        for lo in range(0, len(data), piece):
+            yield data[lo : lo + piece]
+        return
+    at, d = 0, zlib.decompressobj(31)
+    while at < len(data):
+        rest = data[at : at + piece]
+        at += len(rest)
+        while rest:
+            out = d.decompress(rest, piece)
+            if out:
+                yield out
+            rest = d.unconsumed_tail
+            if d.eof:
+                # What follows a member is another one, or is left alone.
+                at -= len(d.unused_data)
+                if data[at : at + 2] != b"\x1f\x8b":
+                    return
+                d, rest = zlib.decompressobj(31), b""
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file. A damaged rest gives one row with ``error`` set."""
-    data, at = _members(data), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            if data[at:].strip():
+    """Records of a WARC file, one at a time. A damaged rest gives one row with ``error`` set."""
+    pieces, buf, at, broken = _plain(data), bytearray(), 0, False
+
+    def need(n: int) -> bool:
+        nonlocal broken
+        while len(buf) < n:
+            try:
+                more = next(pieces, None)
+            except zlib.error:
+                broken = True
+                return False
+            if more is None:
+                return False
+            buf.extend(more)
+        return True
+
+    def drop(n: int) -> None:
+        nonlocal at
+        del buf[:n]
+        at += n
+
+    while True:
+        while need(2) and buf.startswith(b"\r\n"):
+            drop(2)
+        if not need(5):
+            if buf.strip() or broken:
                 yield {"error": f"no record at byte {at}"}
             return
-        fields = {h["name"]: h["value"] for h in _headers(data[at:end].partition(b"\r\n")[2])}
+        end, seen = -1, 0
+        while buf.startswith(b"WARC/"):
+            end = buf.find(b"\r\n\r\n", max(0, seen - 3))
+            seen = len(buf)
+            if end >= 0 or not need(seen + 1):
+                break
+        if end < 0:
+            yield {"error": f"no record at byte {at}"}
+            return
+        fields = {h["name"]: h["value"] for h in _headers(bytes(buf[:end]).partition(b"\r\n")[2])}
         size = fields.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
+        if not (size.isascii() and size.isdigit()) or not need(end + 4 + int(size)):
             yield {"error": f"a record at byte {at} is cut short"}
             return
-        body = data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-        while data.startswith(b"\r\n", at):
-            at += 2
+        body = bytes(buf[end + 4 : end + 4 + int(size)])
+        drop(end + 4 + int(size))
         row = {"record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "payload_digest": fields.get("warc-payload-digest"), "payload": body, "headers": [], "status": None}
         if body.startswith(b"HTTP/") and fields.get("warc-type") in ("response", "revisit"):
             head, _, row["payload"] = body.partition(b"\r\n\r\n")
@@ -71,7 +109,10 @@ def parse_warc(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path`` (plain or gzip, a file up to 2 GB), columns ``RECORD``."""
+    """Records of the WARC files under ``path`` (plain or gzip, a file up to 2 GB), columns ``RECORD``.
+
+    A task holds the stored bytes of a file and one record of it; gzip is undone piece by piece.
+    """
     out = T.StructType.fromDDL(RECORD)
     fields = out.fieldNames()
 
@@ -81,13 +122,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         schema = to_arrow_schema(T.StructType([*out.fields[:3], T.StructField("ts", T.StringType()), *out.fields[4:]]))
         for b in batches:
             for content in b.column(0):
-                rows = []
+                rows, size = [], 0
                 for r in parse_warc(content.as_py()):
                     r["ts"] = r.pop("date", None)
                     rows.append({k: r.get(k) for k in fields})
-                    if len(rows) == 256:
+                    size += len(rows[-1]["payload"] or b"")
+                    if len(rows) == 256 or size > 1 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -136,7 +178,9 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     * ``missing``: no earlier response; also for a revisit without URL or time.
 
     Two responses at one time: the greater record id counts. Repeated revisits each give a row.
-    A response at the very time of a revisit is not earlier. An empty table gives an empty result.
+    A response at the very time of a revisit is not earlier. Long URLs and header lists are taken
+    whole. An empty table gives an empty result. Other columns, whatever their names, are carried
+    in ``row``.
     """
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     kind = F.lower(F.col("record_type"))
@@ -190,7 +234,9 @@ def captures(pages: DataFrame) -> DataFrame:
 
     Page n is fetched n minutes after the epoch and asked for again 50000 seconds later under a variant of
     its URL. Every fifth page has changed its entity tag by then; every third revisit of the rest
-    has only a modification date and every third only a digest.
+    has only a modification date and every third only a digest. A null page id gives records
+    without id, time or validators of their own; a null url gives records without URL, whose
+    revisit is ``missing``; null html is the empty body.
     """
     n = F.col("page_id")
     digest = F.concat(F.lit("md5:"), F.md5(F.coalesce("html", F.lit(""))))
