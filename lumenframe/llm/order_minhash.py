@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, staged, utf8
+from .common import MOST_SEEN, mapped, packed, staged, utf8
 from .components import components
 
 #: Words of a shingle, and sketches of a text, each of two shingles in text order.
@@ -23,8 +23,8 @@ WORDS, SKETCHES = 5, 28
 SHORT = 20
 #: Least similarity of a link: 1 - edit distance in words / words of the longer text.
 SIMILARITY = 0.8
-#: Bins of a text's word counts, and members of a block where a bucket is settled pair by pair.
-BINS, BLOCK = 64, 1000
+#: Bins of a text's word counts, and members of a block where a bucket is settled pair by pair: by counts, and by alignment.
+BINS, BLOCK, ALIGNED_BLOCK = 64, 1000, 128
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _ODD = (np.random.default_rng(20).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -179,7 +179,7 @@ def _keyed(p: DataFrame) -> DataFrame:
             keys = [_key(t, words(t)) for t in (x.as_py() for x in b.column(len(others)))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(others))), pa.array(keys, pa.binary())], names=[*others, "key"])
 
-    return p.mapInArrow(run, out)
+    return mapped(p, run, out)
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
@@ -201,11 +201,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 sizes.append(len(ws))
                 bands.append(None if again else sketches(ws))
                 texts.append(None if again or len(ws) < WORDS else pack(b" ".join(ws)))
-            if len(done) > 1_000_000:
+            if len(done) > MOST_SEEN:
                 done.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts, pa.binary())], names=out.fieldNames())
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, out)
+    rows = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), run, out)
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
     return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), one("n"), one("bands"), one("packed"))
 
@@ -225,11 +225,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 ok.append(within(p, t, most_edits(len(p), len(t), similarity)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return rows.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary, ok boolean")
+    return mapped(rows.select("a", "b", "pa", "pb"), run, "a binary, b binary, ok boolean")
 
 
-def _stars(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links found by joining each bucket as a star, and all pairs tried.
+def _stars(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links found by joining each bucket as a star.
 
     Each member meets one member of its bucket, the hub, so the pairs grow with the members.
     Members that do not match their hub meet the bucket's other end, and then the hub of finer
@@ -247,7 +247,7 @@ def _stars(members: DataFrame, texts: DataFrame, similarity: float) -> tuple[Dat
         good = tried.filter("ok")
         left = met.join(good, (met["key"] == good["a"]) & (met["hub"] == good["b"]), "left_anti")
         members = left.select("key", "size", "bucket", "finer").distinct()
-    return seen.filter("ok").select("a", "b"), seen.select("a", "b")
+    return seen.filter("ok").select("a", "b")
 
 
 def _bag(ws: Sequence[bytes]) -> bytes:
@@ -257,14 +257,14 @@ def _bag(ws: Sequence[bytes]) -> bytes:
 
 
 def _bagged(texts: DataFrame) -> DataFrame:
-    """``key`` and ``bag`` of texts."""
+    """``key``, ``bands`` and ``bag`` of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_bag(unpack(x.as_py()).split()) for x in b.column(1)], pa.binary())], names=["key", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_bag(unpack(x.as_py()).split()) for x in b.column(2)], pa.binary())], names=["key", "bands", "bag"])
 
-    return texts.select("key", "packed").mapInArrow(run, "key binary, bag binary")
+    return mapped(texts.select("key", "bands", "packed"), run, "key binary, bands array<long>, bag binary")
 
 
 def likely(size: np.ndarray, root: np.ndarray, side: np.ndarray, bag: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -293,42 +293,84 @@ def likely(size: np.ndarray, root: np.ndarray, side: np.ndarray, bag: np.ndarray
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _settled(texts: DataFrame, roots: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members of buckets in pairs of blocks, ``lo`` and ``hi``: each two members meet in one cell.
+
+    ``side`` tells the blocks of a cell apart, and is -1 where it is one block with itself.
+    """
+    c = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "dup-sizes")
+    g = F.ceil(F.col("c") / block)
+    d = members.join(c, "bucket").withColumn("i", F.pmod(F.xxhash64("key", "bucket"), g)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
+    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+    side = F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1).cast("int")
+    return d.select(*members.columns, lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+
+
+def own_pairs(x: np.ndarray, y: np.ndarray, bands: list[frozenset], bucket: int) -> np.ndarray:
+    """Which pairs belong to this bucket: it is the least that the two share, so each pair belongs to one."""
+    return np.array([min(bands[i] & bands[j]) == bucket for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+
+
+def _settled(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Links between members of a bucket that the stars left in different components.
 
-    All pairs of such members are compared by their counts of words, and those that may be
-    similar are aligned. A large bucket is dealt out in pairs of blocks of ``BLOCK`` members, so
-    that no task has more than two blocks of it at once.
+    All pairs of such members are compared by their counts of words, in blocks of ``BLOCK``, and
+    only the members of pairs that may be similar go on. These are aligned in smaller blocks: a
+    pair in the least bucket that it shares, and none whose members are linked there already. No
+    pair is a row; a cell sends its members, or fewer links than it has members.
     """
-    own = texts.filter(F.size("bands") > 0).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    own = own.select("key", "n", F.xxhash64(F.coalesce("root", "key")).alias("root"), F.explode("bands").alias("bucket"))
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo != hi")
-    members = staged(own.join(mixed.select("bucket", "c"), "bucket"), "dup-open")
+    named = texts.filter(F.size("bands") > 0).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    own = named.select("key", "n", "root", F.explode("bands").alias("bucket"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
+    members = staged(own.join(mixed, "bucket"), "dup-open")
     bags = staged(_bagged(texts.join(members.select("key").distinct(), "key", "left_semi")), "dup-bags")
-    g = F.ceil(F.col("c") / BLOCK)
-    d = members.withColumn("i", F.pmod(F.xxhash64("key", "bucket"), g)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
-    lo, hi = F.least("i", "j"), F.greatest("i", "j")
-    side = F.when(lo == hi, -1).when(F.col("i") == lo, 0).otherwise(1)
-    d = d.select("key", "bucket", lo.alias("lo"), hi.alias("hi"), F.struct("key", "n", "root", side.cast("int").alias("side")).alias("m"))
-    d = d.join(bags, "key").select("bucket", "lo", "hi", F.col("m").withField("bag", F.col("bag")).alias("m"))
-    cells = d.groupBy("bucket", "lo", "hi").agg(F.collect_list("m").alias("m")).select("m")
+    d = _dealt(members, BLOCK).join(bags, "key")
+    cells = d.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("key", "n", "root", "side", "bag", "bands")).alias("m")).select("bucket", "m")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.column(0)
-            at, rows = m.offsets.to_numpy(), m.values
-            keys = rows.field("key")
-            n, root, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "root", "side"))
-            bag = np.frombuffer(b"".join(rows.field("bag").to_pylist()), "<i2").reshape(-1, BINS)
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                x, y = likely(n[lo:hi], root[lo:hi], side[lo:hi], bag[lo:hi], similarity)
-                for k in range(0, len(x), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(x[k : k + (1 << 16)] + lo)), keys.take(pa.array(y[k : k + (1 << 16)] + lo))], names=["a", "b"])
-
-    pairs = cells.mapInArrow(run, "a binary, b binary")
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(ordered(pairs).distinct().join(ordered(tried), ["a", "b"], "left_anti"), "dup-pairs")
-    return staged(_verified(pairs, texts, similarity), "dup-settled").filter("ok").select("a", "b")
+            for bucket, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, root, side = (np.array([r[c] for r in m], np.int64) for c in ("n", "root", "side"))
+                x, y = likely(n, root, side, np.frombuffer(b"".join(r["bag"] for r in m), "<i2").reshape(-1, BINS), similarity)
+                mine = own_pairs(x, y, [frozenset(r["bands"]) for r in m], bucket)
+                found = np.unique(np.concatenate([x[mine], y[mine]]))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array([m[i]["key"] for i in found], pa.binary())], names=["bucket", "key"])
+
+    chosen = staged(mapped(cells, compared, "bucket long, key binary").distinct(), "dup-likely")
+    info = named.join(chosen.select("key").distinct(), "key", "left_semi").select("key", "root", "bands", "packed")
+    d = _dealt(chosen, ALIGNED_BLOCK).join(info, "key")
+    cells = d.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("key", "root", "side", "bands", "packed")).alias("m")).select("bucket", "m")
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for bucket, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = [unpack(r["packed"]).split() for r in m]
+                n, (root, side) = np.array([len(w) for w in ws], np.int64), (np.array([r[c] for r in m], np.int64) for c in ("root", "side"))
+                x, y = likely(n, root, side, np.frombuffer(b"".join(map(_bag, ws)), "<i2").reshape(-1, BINS), similarity)
+                mine = own_pairs(x, y, [frozenset(r["bands"]) for r in m], bucket)
+                links = _linked(ws, root, x[mine].tolist(), y[mine].tolist(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([m[i]["key"] for i, _ in links], pa.binary()), pa.array([m[j]["key"] for _, j in links], pa.binary())], names=["a", "b"])
+
+    return staged(mapped(cells, aligned, "a binary, b binary"), "dup-settled")
+
+
+def _linked(ws: list[list[bytes]], root: np.ndarray, x: list[int], y: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs those that are similar, without what follows from others: the components are the same."""
+    up = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    out = []
+    for i, j in zip(x, y, strict=True):
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b and within(ws[i], ws[j], most_edits(len(ws[i]), len(ws[j]), similarity)):
+            up[a] = b
+            out.append((i, j))
+    return out
 
 
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -340,9 +382,8 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     n = F.size("bands")
     own = F.explode(F.transform("bands", lambda x, i: F.struct(x.alias("bucket"), F.xxhash64(x, F.element_at("bands", ((i + 1) % n + 1).cast("int"))).alias("finer"))))
     members = texts.filter(n > 0).select("key", F.col("n").alias("size"), own.alias("e")).select("key", "size", "e.bucket", "e.finer")
-    found, tried = _stars(members, texts, similarity)
-    roots = staged(components(found), "dup-stars")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_settled(texts, roots, tried, similarity))
+    roots = staged(components(_stars(members, texts, similarity)), "dup-stars")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_settled(texts, roots, similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -370,7 +411,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Defined cases: null is the empty text; texts without words are alike only if their bytes
     are; null ids come last, and a class of null ids has a null ``class_id``; repeated rows are
-    of one class; long texts are aligned whole; an empty table gives an empty result.
+    of one class; long texts are aligned whole; an empty table gives an empty result. Ids are whole
+    numbers, or texts of such; other columns, whatever their names, are carried in ``row``.
     """
     rows = _keyed(packed(docs, text=utf8()))
     return rows.join(classes(docs, similarity), "key").select("row", "key", "class_id", "top")

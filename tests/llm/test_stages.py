@@ -145,9 +145,8 @@ def test_maximal_repeats_of_a_known_string():
     assert got == {(3, (1, 5))}
 
 
-def test_cut_characters_go_whole(spark):
-    d = spark.createDataFrame([(bytearray("aé".encode()[:2]),), (bytearray("é".encode()),)], "b binary")
-    assert [r[0] for r in d.select(suffix_dedup.whole_characters(F.col("b"))).collect()] == ["a", "é"]
+def test_cut_characters_go_whole():
+    assert [suffix_dedup.whole_characters(b) for b in ("aé".encode()[:2], "é".encode())] == ["a", "é"]
 
 
 # WARC
@@ -225,6 +224,98 @@ def test_stored_texts(spark):
     assert got[2]["tail_crc32"] == zlib.crc32(b" " * 16)
 
 
+def other_jpeg(spark, samples):
+    """A grey image as written by another encoder, that of the Java runtime, and as its decoder reads it."""
+    jvm, gate = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.java.lang.System.setProperty("java.awt.headless", "true")
+    tall, wide = samples.shape
+    image = jvm.java.awt.image.BufferedImage(wide, tall, 10)
+    flat = gate.new_array(jvm.int, tall * wide)
+    for i, v in enumerate(samples.ravel().tolist()):
+        flat[i] = v
+    image.getRaster().setSamples(0, 0, wide, tall, 0, flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data))).getRaster().getSamples(0, 0, wide, tall, 0, gate.new_array(jvm.int, tall * wide))
+    return data, np.array(list(back)).reshape(tall, wide)
+
+
+def without(data, marker):
+    """A JPEG without its segments of one kind."""
+    at, out = 2, data[:2]
+    while data[at + 1] != 0xDA:
+        n = 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        out += b"" if data[at + 1] == marker else data[at : at + n]
+        at += n
+    return out + data[at:]
+
+
+def test_frames_of_another_encoder(spark):
+    x, y = np.meshgrid(np.arange(32), np.arange(16))
+    data, back = other_jpeg(spark, ((x * 7 + y * 5) % 200 + (x > 16) * 40).astype(int))
+    for frame in (data, without(data, 0xC4)):
+        d = media_avi.decode_frame(frame)
+        got = media_avi.luma(d).reshape(2, 4, 8, 8).transpose(0, 2, 1, 3).reshape(16, 32)
+        assert d["size"] == (32, 16) and np.abs(got.astype(int) - back).max() <= 1
+    with pytest.raises(ValueError, match="without a scan"):
+        media_avi.decode_frame(b"\xff\xd8\xff\xd9")
+
+
+def test_several_segments_and_rec_lists(spark):
+    import struct
+
+    data = media_avi.encode_avi(b"abc" * 64 * 40)
+    frames = media_avi.parse_avi(data)["frames"]
+    chunk = lambda tag, body: tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    more = b"".join(chunk(b"00dc", f) for f in frames[:3])
+    second = chunk(b"RIFF", b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"LIST", b"rec " + more) + chunk(b"00dc", frames[3])))
+    assert media_avi.parse_avi(data + second)["frames"] == frames + frames[:4]
+    # The same by a super index in the stream's header.
+    whole = data + second
+    where, at = [], 0
+    while (at := whole.find(b"00dc", at + 1)) >= 0:
+        if whole[at + 8 : at + 10] == b"\xff\xd8":
+            where.append((at + 8, struct.unpack_from("<I", whole, at + 4)[0]))
+    entries = lambda shift: b"".join(struct.pack("<II", a + shift, n) for a, n in where)
+    head = data.index(b"strh") - 12
+    size = 8 + 24 + 16
+    ix = len(whole) + size
+
+    def with_index():
+        sup = chunk(b"indx", struct.pack("<HBBI4sIII", 4, 0, 0, 1, b"00dc", 0, 0, 0) + struct.pack("<QII", ix, 0, len(where)))
+        body = whole[: head + 12] + sup + whole[head + 12 :]
+        grow = lambda b, p: b[:p] + struct.pack("<I", struct.unpack_from("<I", b, p)[0] + size) + b[p + 4 :]
+        for p in (4, data.index(b"hdrl") - 4, data.index(b"strl") - 4):
+            body = grow(body, p)
+        return body + chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(where), b"00dc", 0, 0) + entries(size))
+
+    assert media_avi.parse_avi(with_index())["frames"] == frames + frames[:4]
+
+
+def test_features_equal_plain_ones(spark):
+    rng = random.Random(16)
+    t = ("a" * 5000 + "".join(rng.choice("bcdé") for _ in range(9000))).encode()
+    n, size, sha, crc, media_bytes, media_sha, feature = media_avi.digest(t)
+    payload = t + b" " * (-len(t) % 192)
+    assert (n, size, sha, crc) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    data = media_avi.encode_avi(payload)
+    assert (media_bytes, media_sha) == (len(data), hashlib.sha256(data).hexdigest())
+    # Levels by a plain inverse transform of each first component, 4 units a frame.
+    order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    a = [np.sqrt(1 / 8) if k == 0 else 0.5 for k in range(8)]
+    whole = payload + b" " * (-len(payload) % 768)
+    total = count = 0
+    for at in range(0, len(whole), 192):
+        c = np.zeros((8, 8))
+        for (r, k), b in zip(order, whole[at : at + 64], strict=True):
+            c[r, k] = b if b >= 128 else b - 255
+        basis = np.array([[a[k] * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
+        level = np.clip(np.rint(basis.T @ c @ basis + 128), 0, 255).astype(int) >> 4
+        total, count = total + level.sum(), count + 64
+    assert f"frames={len(whole) // 768};" in feature and f"level={total / count:.3f}" in feature.replace(feature.split("level=")[1].split(";")[0], f"{float(feature.split('level=')[1].split(';')[0]):.3f}")
+
+
 # URLs
 
 
@@ -345,6 +436,7 @@ def test_chain_over_a_hub_is_one_class(spark):
 
 def test_near_pairs_in_a_bucket_of_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(order_minhash, "ALIGNED_BLOCK", 3, raising=False)
     passage = [f"p{i}" for i in range(70)]
     texts = [passage + [f"o{k}x{i}" for i in range(60)] for k in range(40)]
     for k in range(6):
@@ -365,6 +457,22 @@ def test_counts_of_words_rule_out_no_similar_pair():
     assert near and {(j, i) for i, j in near} <= got
 
 
+def test_recall_in_one_very_large_bucket(spark, monkeypatch):
+    """Of all pairs of five-word-shingle similarity 0.8 or more, in texts that all share a passage."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 50)
+    monkeypatch.setattr(order_minhash, "ALIGNED_BLOCK", 20)
+    rng = random.Random(17)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for k in range(60):
+        base = passage + [f"t{k}x{i}" for i in range(100)]
+        texts += [base] + [altered(base, rng.sample(range(160), rng.randint(1, 3)), f"e{k}v{v}x") for v in range(2)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = grouped(spark, texts)
+    assert len(near) > 100 and sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert all(got[i] // 3 == i // 3 for i in range(len(texts)))
+
+
 def test_keep_one_keeps_one_of_repeated_rows(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h"), (None, "g h"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in order_minhash.keep_one(d).collect()) == [0, 1]
@@ -402,9 +510,96 @@ def test_unseen_languages_and_noise_are_rejected(spark):
     assert all(got[900 + i]["rejected"] and got[900 + i]["predicted"] == "und" for i in range(6))
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 1 << 20])
+def test_trigrams_do_not_depend_on_pieces(piece):
+    for t in ("", "a", "Ab", " a  b ", "ab1cd,,é f", "1 2", "x" * 9 + " "):
+        norm = " ".join(["", *"".join(c.lower() if c.isalpha() else " " for c in t).split(), ""]).encode() if t.strip("12 ") else b""
+        want = [(((norm[i] * 961 + norm[i + 1]) * 961 + norm[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(norm) - 2)]
+        assert [int(x) for p in langid.trigrams(t.encode(), piece) for x in p] == want, t
+
+
+def weighed(model, docs):
+    """Plain fusion of (text, places, declared) by document; places are (host, suffix) pairs."""
+    n = len(model.langs)
+    marks, texts = defaultdict(lambda: np.zeros(n)), []
+    told, corpus = {x: np.full(n, 0.5) for x in model.langs}, np.ones(n)
+    for text, places, said in docs:
+        ll, k = model.score(text.encode())
+        ll = np.array(ll)
+        odd = k > 0 and ll.max() < -min(k, 100) * np.log(1 << 16) + np.log(langid.UNKNOWN)
+        soft = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum() if k and not odd else np.full(n, 1 / n)
+        texts.append((ll, k, odd))
+        corpus += soft
+        for p in set(places):
+            marks[p] += soft
+        for x in set(said) & set(told):
+            told[x] += soft
+    corpus /= corpus.sum()
+    told = {x: np.log(v / sum(told.values())) for x, v in told.items()}
+    by_suffix = defaultdict(lambda: np.zeros(n))
+    for (_, suffix), v in marks.items():
+        by_suffix[suffix] += v
+    smooth = lambda own, prior: (own + 20 * prior) / (own.sum() + 20)
+    for (ll, k, odd), (_, places, said) in zip(texts, docs, strict=True):
+        logs = ll + np.log(corpus)
+        for p in set(places):
+            logs = logs + np.log(smooth(marks[p], smooth(by_suffix[p[1]], corpus)) / corpus)
+        for x in set(said) & set(told):
+            logs = logs + told[x]
+        post = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        silent = not k and not set(said) & set(told)
+        yield model.langs[int(post.argmax())], float(post.max()), bool(silent or odd or post.max() < 0.5)
+
+
+def mixed_corpus(seed):
+    rng = random.Random(seed)
+    make = {"aa": "abcdefg", "bb": "defghij", "cc": "ghijkab"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(sorted(make))
+        t = " ".join("".join(rng.choice(make[lang]) for _ in range(4)) for _ in range(rng.choice([0, 1, 2, 30])))
+        rows.append((i, rng.choice([t, t, t, t + " 12", "12 !"]), rng.choice([lang, lang, "bb", "zz", None]), rng.choice(["h1", "h2", None])))
+    return [*rows, (500, None, None, None), (501, "Ѐж" * 40, "aa", "h1"), rows[3], rows[3]]
+
+
+def test_language_equals_plain_fusion(spark):
+    rows = mixed_corpus(12)
+    d = spark.createDataFrame([(*r, 0) for r in rows], DOCS)
+    model = langid.train(d)
+    assert model.langs == ["aa", "bb", "cc", "zz"]
+    got = langid.identify(d, model, F.col("lang"), F.col("source"), F.lit("x")).select("row.doc_id", "best", "posterior", "rejected").collect()
+    want = {r[0]: w for r, w in zip(rows, weighed(model, [(t or "", [(s, "x")], [x] if x else []) for _, t, x, s in rows]), strict=True)}
+    assert len(got) == len(rows)
+    for r in got:
+        best, posterior, rejected = want[r["doc_id"]]
+        assert r["posterior"] == pytest.approx(posterior, abs=1e-9) and r["rejected"] == rejected and (r["best"] == best or posterior < 0.5 + 1e-9), r
+
+
+def test_language_by_pages_equals_plain_fusion(spark):
+    rows, rng = mixed_corpus(13), random.Random(14)
+    pages = [(rng.choice([*range(100), 777, None]), rng.choice(["aa", "BB-x", "", "q!"]), rng.choice(["p.com", "q.com", "r.org"])) for _ in range(150)]
+    pages = [(i, x, h, h[-3:]) for i, x, h in pages + pages[:9]]
+    d = spark.createDataFrame([(*r, 0) for r in rows], DOCS)
+    model = langid.train(d)
+    seen, said = defaultdict(list), defaultdict(list)
+    for i, x, h, s in pages:
+        seen[i].append((h, s))
+        said[i].append(x.lower()[:2])
+    whole = [(t or "", seen[i] or ([("source:" + s, None)] if s else []), said[i]) for i, t, _, s in rows]
+    got = langid.identify_by_pages(langid.text_scores(d, model), model, spark.createDataFrame(pages, "doc_id long, declared string, host string, suffix string")).select("row.doc_id", "best", "posterior", "rejected").collect()
+    lone = [k for k, r in enumerate(rows) if not seen[r[0]] and r[3] is None]
+    whole = [(t, [(None, None)] if k in lone else p, x) for k, (t, p, x) in enumerate(whole)]
+    want = {r[0]: w for r, w in zip(rows, weighed(model, whole), strict=True)}
+    for r in got:
+        best, posterior, rejected = want[r["doc_id"]]
+        assert r["posterior"] == pytest.approx(posterior, abs=1e-9) and r["rejected"] == rejected and (r["best"] == best or posterior < 0.5 + 1e-9), r
+    bare = langid.identify_by_pages(langid.text_scores(d, model), model, spark.createDataFrame([], "doc_id long, declared string, host string, suffix string"))
+    assert bare.count() == len(got) == len(rows)
+
+
 def test_page_evidence(spark):
-    p = spark.createDataFrame([(2, "http://X.org/en/7?x", '<html class="a" lang=en-GB>'), (1, "http://y.com/7.html", "<html>"), (3, None, None)], "page_id long, url string, html string")
-    assert [tuple(r) for r in langid.page_evidence(p).collect()] == [(7, "", "y.com", "com")]
+    p = spark.createDataFrame([(2, "http://X.org/en/7?x", '<html class="a" lang=en-GB>'), (1, "http://y.com/7.html", "<html>"), (1, "http://y.com/7.html", None), (3, None, None), (4, "http://z.net/", "x")], "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in langid.page_evidence(p).collect()) == [(7, "", "y.com", "com"), (7, "", "y.com", "com"), (7, "en-GB", "x.org", "org")]
 
 
 # Toxicity
@@ -445,15 +640,35 @@ def test_long_words_count_whole(monkeypatch):
         assert float(vals @ table[cols]) == pytest.approx(want, abs=1e-5)
 
 
+def test_scores_equal_plain_averages(spark):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["good", "baad", "bad!", "Ünï", "a", "xy-zz"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "?!", "w" * 9000]
+    model = toxicity.fit([(t or "").encode() for t in texts], np.array([int("bad" in (t or "")) for t in texts]))
+    share = toxicity.GAIN * (model.embedding.astype(np.float64) @ (model.weights[:, 1] - model.weights[:, 0]).astype(np.float64))
+
+    def plain(text):
+        z = float(model.bias[1] - model.bias[0])
+        ws = toxicity.words(text.encode())
+        for w in ws:
+            m = b"<" + w + b">"
+            own = [m, *(m[i : i + n] for n in (3, 4, 5) for i in range(len(m) - n + 1))]
+            z += sum(share[zlib.crc32(x) % toxicity.BUCKETS] for x in own) / len(own) / len(ws)
+        return 1 / (1 + np.exp(-z))
+
+    got = {r["row"]["doc_id"]: r["score"] for r in toxicity.score_texts(docs(spark, texts), model).collect()}
+    assert all(got[i] == pytest.approx(plain(t or ""), abs=1e-5) for i, t in enumerate(texts))
+
+
 # Benchmark passages
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_contamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize("filler", [0, 4000])
+def test_contamination_equals_brute_force(spark, filler):
+    # With filler the benchmark is larger than the filter, which then lets much else through.
     rng = random.Random(10)
     word = lambda: rng.choice(["the", "of", "a"]) if rng.random() < 0.5 else "".join(rng.choice("abcé") for _ in range(3))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([12, 30, 3, 1, 2, 10, 9, 0, 14])]
-    items += [(20, items[1][1]), (None, "solo zeta"), (8, "other words"), (21, None)]
+    items += [(20, items[1][1]), (None, "solo zeta"), (8, "other words"), (21, None), (30, " ".join(f"f{i}" for i in range(filler)))]
     texts = []
     for _ in range(80):
         t = " ".join(word() for _ in range(rng.randint(0, 60)))
@@ -464,7 +679,7 @@ def test_contamination_equals_brute_force(spark, block):
         texts.append(t)
     texts += [None, "", "!!", "Zeta solo zeta"]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["row"]["doc_id"]: r for r in decontam.contamination(docs(spark, texts), b, block).collect()}
+    got = {r["row"]["doc_id"]: r for r in decontam.contamination(docs(spark, texts), b, 1 << 15 if filler else decontam.MOST_BITS).collect()}
     win = defaultdict(set)
     for i, t in items:
         w = decontam.words((t or "").encode())
@@ -483,6 +698,12 @@ def test_contamination_equals_brute_force(spark, block):
     assert decontam.contamination(docs(spark, texts), b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_a_full_filter_lets_all_through():
+    h = decontam.shingles([b"%d" % i for i in range(500)], 3)
+    assert len(decontam.Filter(np.full(4096, 255, np.uint8), 1 << 15).has(h)) == 498
+    assert not len(decontam.Filter(np.zeros(4096, np.uint8), 1 << 15).has(h))
+
+
 # Token counts
 
 
@@ -534,6 +755,29 @@ def test_odd_rows_do_no_harm(spark):
     assert url_rules.judge(p, p.select("url", F.lit(True).alias("blocked"))).count() == n
 
 
+def test_odd_rows_by_value(spark):
+    d, long = odd(spark), " ".join(f"word{i % 977}" for i in range(30_000))
+    size = len(long)
+    of = lambda df, *cols: sorted((tuple(r) for r in df.select("row.doc_id", *cols).collect()), key=str)
+    twice = lambda *rows: sorted((x for r in rows for x in [r] * (2 if r[0] in (1, 3) else 1)), key=str)
+    assert of(suffix_dedup.remove_repeats(d), "n_bytes", "n_removed", "n_spans") == twice((None, 0, 0, 0), (1, 0, 0, 0), (2, 1, 0, 0), (3, size, size, 1), (4, 4, 0, 0))
+    assert of(order_minhash.near_duplicates(d), "class_id") == twice((None, 1), (1, 1), (2, 2), (3, 3), (4, 4))
+    assert of(mixing.mix(d).drop("doc_id"), "size", "source_size") == twice((None, 0, 60_000), (1, 0, 1), (2, 1, 1), (3, 30_000, 60_000), (4, 1, 1))
+    got = of(media_avi.store_texts(d), "n_bytes", "payload_bytes", "tail_crc32")
+    blank, tail = zlib.crc32(b" " * 16), (long + " " * (-size % 192)).encode()[-16:]
+    assert got == twice((None, 0, 192, blank), (1, 0, 192, blank), (2, 1, 192, blank), (3, size, size + -size % 192, zlib.crc32(tail)), (4, 4, 192, blank))
+    b = spark.createDataFrame([(None, None), (1, "word1 word2 word3")], "item_id long, text string")
+    assert of(decontam.contamination(d, b), "n_words", "n_hit", "n_items") == twice((None, 0, 0, 0), (1, 0, 0, 0), (2, 1, 0, 0), (3, 30_000, 3 * 31, 1), (4, 0, 0, 0))
+    m = toxicity.train(d, d.select("doc_id", F.lit(1).alias("toxic")))
+    assert len({r["score"] for r in toxicity.score_texts(d, m).collect()}) == 1
+    p = spark.createDataFrame([(None, None, None), (1, "http://a/", None), (1, "http://a/", None)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("row", "uri", "ts", "digest", "bucket")})
+    assert sorted((r["uri"] or "", r["outcome"]) for r in warc.resolve_revisits(warc.captures(p)).collect()) == [("", "missing"), ("a", "resolved"), ("a", "resolved")]
+    r = warc.captures(p.limit(0))
+    assert warc.resolve_revisits(r.withColumns({c: F.lit(1) for c in ("row", "uri", "best", "outcome", "h")})).count() == 0
+    f = spark.createDataFrame([(bytearray(media_avi.encode_avi(b"q" * 192)),)] * 2, "content binary").withColumns({c: F.lit(1) for c in ("row", "clip", "clips", "error")})
+    assert [r["clip"]["last_frame"] for r in media_avi.clips(f).collect()] == [0, 0]
+
+
 def test_empty_tables(spark):
     d = docs(spark, [])
     none = d.select("doc_id", F.lit(1).alias("toxic"))
@@ -541,3 +785,7 @@ def test_empty_tables(spark):
     assert toxicity.score_texts(d, toxicity.train(d, none)).count() == media_avi.store_texts(d).count() == 0
     assert langid.identify(d, langid.train(d), F.col("lang"), F.col("source"), F.lit(None).cast("string")).count() == 0
     assert url_rules.judge(d.withColumn("url", F.col("text")), d.select(F.col("text").alias("url"), F.lit(True).alias("blocked"))).count() == 0
+    some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontam.contamination(d, some).count() == decontam.contamination(d, some.limit(0)).count() == 0
+    assert token_rollup.deltas(d.withColumn("op", F.lit("insert"))).count() == 0
+    assert langid.page_evidence(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))).count() == 0
