@@ -133,10 +133,11 @@ fr AS (SELECT k, good, ns, CASE WHEN k % 5 = 0 THEN 'no_text' ELSE 'text_detecte
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as frames with a region a line."""
+    """Orders as frames with a region a line: of a repeated line the first text in the order of files and rows."""
     t = F.when(F.col("l_linenumber") % 4 == 0, " ").otherwise(F.to_date("l_shipdate").cast("string"))
     n = F.col("l_linenumber")
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", n.alias("n")).agg(F.any_value(t).alias("t"))
+    at = F.when(t.isNotNull(), F.struct("_metadata.file_path", "_metadata.row_index"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", n.alias("n")).agg(F.min_by(t, at).alias("t"))
     n = F.col("n")
     region = F.struct("n", F.col("t").alias("easyocr_text"), (n / 10).alias("easyocr_confidence"), (n == 1).alias("has_vi_marks"), (n == 2).alias("has_ascii_word"), F.upper("t").alias("final_text"), (n / 20).alias("final_confidence"), F.when(n == 3, "vintern").otherwise("easyocr").alias("final_engine"))
     f = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(region)).alias("regions"))

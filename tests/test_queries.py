@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lumenframe import catalog
@@ -38,6 +41,23 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(tuple(plain(r[i]) for i in at) for r in got) == sorted(tuple(map(plain, r)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["gate_snapshot"])
+def test_first_of_repeated_lines(spark, tmp_path, name):
+    """A line's rows lie in two files, the larger one last, and some have no date: the first date counts, as SQL finds it in one thread."""
+    d = tmp_path / "lineitem.parquet"
+    d.mkdir()
+    schema = pa.schema([("l_orderkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_shipdate", pa.timestamp("us"))])
+    day = lambda k: datetime(1995, 1, 1) + timedelta(k)
+    for i, copies in enumerate((1, 5)):
+        rows = [(k, n, None if (k + n + i + c) % 4 == 0 else day(k + n + 1000 * i + 100 * c)) for c in range(copies) for k in range(60) for n in range(1, 5)]
+        pq.write_table(pa.table(list(zip(*rows, strict=True)), schema=schema), d / f"part-{i}.parquet")
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"create view lineitem as select * from '{d}/*.parquet'")
+    want = c.sql(catalog.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
 def test_entry_contract(spark, sf_dir):
     import __spark_entry__ as e
 
