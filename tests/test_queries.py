@@ -41,7 +41,7 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(tuple(plain(r[i]) for i in at) for r in got) == sorted(tuple(map(plain, r)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["gate_snapshot"])
+@pytest.mark.parametrize("name", ["gate_snapshot", "gate_snapshot_final"])
 def test_first_of_repeated_lines(spark, tmp_path, name):
     """A line's rows lie in two files, the larger one last, and some have no date: the first date counts, as SQL finds it in one thread."""
     d = tmp_path / "lineitem.parquet"
