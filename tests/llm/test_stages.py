@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -698,6 +699,20 @@ def test_contamination_equals_brute_force(spark, filler):
     assert decontam.contamination(docs(spark, texts), b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_words_are_counted_without_a_regular_expression(spark, capsys):
+    texts = [None, "", "a", "b", "!", " ab-c ", "Ünï_Zwölf 中文、x", "\x7fa\x80b{c", "é", "9" * 5000, "a b\n" * 3000, ""]
+    d = docs(spark, texts)
+    got = decontam.contamination(d, spark.createDataFrame([(1, "zzz zzz")], "item_id long, text string")).select("row.doc_id", "n_words")
+    assert dict(got.collect()) == {i: len(decontam.words((t or "").encode())) for i, t in enumerate(texts)}
+    got.explain()
+    assert "regexp_count" not in capsys.readouterr().out
+    rng = random.Random(16)
+    for _ in range(200):
+        some = pa.array([None if rng.random() < 0.2 else bytes(rng.choices(b"aZ09 \n\xc3\xa9\x7f{-", k=rng.randint(0, 6))) for _ in range(rng.randint(0, 9))], pa.binary())
+        for part in (some, some[2:], some[1:4]):
+            assert decontam.word_counts(part).to_pylist() == [len(decontam.words(x)) for x in part.to_pylist()]
+
+
 def test_a_full_filter_lets_all_through():
     h = decontam.shingles([b"%d" % i for i in range(500)], 3)
     assert len(decontam.Filter(np.full(4096, 255, np.uint8), 1 << 15).has(h)) == 498
