@@ -56,6 +56,11 @@ def _begins(term: str) -> Callable[[Column], Column]:
     return lambda x: F.startswith(x, F.lit(term))
 
 
+def _back(k: int) -> Callable[[Column], Column]:
+    """Of one argument: a second one, a default too, would get the index of the element from Spark."""
+    return lambda x: x - k
+
+
 def _frequencies(q: Asked, phrase: Callable, term: Callable, prefix: Callable) -> list[Column]:
     """Columns e0.., f0.., p0..: how often each phrase, term and prefix occurs."""
     out = [phrase(p).cast("int").alias(f"e{k}") for k, p in enumerate(q.phrases)]
@@ -91,7 +96,7 @@ def look_up(index: DataFrame, q: Asked) -> DataFrame:
     d = hits.agg(*[c.alias(names[t]) for t, c in at.items()], *begun)
 
     def phrase(p: list[str]) -> Column:
-        starts = [F.transform(F.col(names[t]), lambda x, k=k: x - k) for k, t in enumerate(p)]
+        starts = [F.transform(F.col(names[t]), _back(k)) for k, t in enumerate(p)]
         return F.size(reduce(F.array_intersect, starts))
 
     return d.select("keyframe_uid", "video_id", "n_terms", *_frequencies(q, phrase, lambda t: F.size(F.col(names[t])), lambda t: F.col(f"b{q.terms.index(t)}")))

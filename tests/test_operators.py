@@ -149,6 +149,15 @@ def test_answers_settle(spark):
     assert got == {"a": ("42", True), "b": ("y", False)}
 
 
+def test_postings_count_phrases_as_a_scan_does(spark):
+    texts = ["gia dau mazut", "mazut dau", "dau mazut dau mazut", "dau dau dau x dau dau", "dau x mazut", "x dau mazut dau", ""]
+    docs = spark.createDataFrame([(i, "v", t) for i, t in enumerate(texts)], "keyframe_uid long, video_id string, text string")
+    q = text_search.asked(spark, ["dau mazut", "dau mazut dau", "dau dau dau", "dau"])
+    got = [{r["keyframe_uid"]: tuple(r[f"e{k}"] for k in range(4)) for r in d.collect()} for d in (text_search.scan(docs, q), text_search.look_up(text_search.postings(docs), q))]
+    assert got[0] == got[1] | {6: (0, 0, 0, 0)}
+    assert got[1] == {0: (1, 0, 0, 1), 1: (0, 0, 0, 1), 2: (2, 1, 0, 2), 3: (0, 0, 1, 5), 4: (0, 0, 0, 1), 5: (1, 1, 0, 2)}
+
+
 def test_text_search_cascade_and_restriction(spark):
     docs = spark.createDataFrame([("target", 1, "gia dau mazut"), ("noise", 2, "dau " * 100)], "video_id string, keyframe_uid long, text string")
     got = text_search.search(docs, ["dau mazut"]).collect()
